@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import pick
 
 SPACE = "▁"
-#: Units kept per worker, with their ids; beyond it the store starts anew.
-REMEMBERED = 300_000
+#: Units kept per worker, with their ids, in each of two generations.
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 48
 PAIRS_REMEMBERED = 1_000_000
 
@@ -71,6 +71,7 @@ class PrefixTable:
         free = "\n" not in self.chars  # a line end that no piece holds is a unit of its own
         self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if free else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge by score, leftmost first on ties, until no pair is a piece: for short texts, as in a pair test."""
@@ -100,18 +101,22 @@ class PrefixTable:
 
     def _known(self, word: str) -> list[int]:
         """Ids of a text whose characters are all pieces, with no two space marks in a row."""
-        last: list[tuple[int, int] | None] = [None] * (len(word) + 1)
-        last[0] = (-1, 0)
-        follows = self.follows
+        n = len(word)
+        last, start = [-2] * (n + 1), [0] * (n + 1)
+        last[0] = -1
+        known, follows = self.pairs.get, self.follows
         for end, (token, length) in self.automaton.iter(word):
-            if last[end + 1] is None:
-                before = last[end + 1 - length]
-                if before is not None and follows(before[0], token):
-                    last[end + 1] = (token, end + 1 - length)
-        out, at = [], len(word)
-        while at:
-            token, at = last[at]
-            out.append(token)
+            end += 1
+            if last[end] == -2:
+                before = last[end - length]
+                if before != -2:
+                    fits = known((before + 1) << 32 | token)
+                    if fits or fits is None and follows(before, token):
+                        last[end], start[end] = token, end - length
+        out = []
+        while n:
+            out.append(last[n])
+            n = start[n]
         return out[::-1]
 
     def _run(self, n: int) -> list[int]:
@@ -164,11 +169,13 @@ class PrefixTable:
         return data[1 if first else 0 :].decode("utf-8", "replace")
 
     def _look(self, unit: str) -> tuple[bytes, bytes]:
-        ids = self.unit(unit)
-        found = b"".join([b"%d," % i for i in ids]), b"".join([self.surface[i] for i in ids])
+        found = self.older.get(unit)
+        if found is None:
+            ids = self.unit(unit)
+            found = b"".join([b"%d," % i for i in ids]), b"".join([self.surface[i] for i in ids])
         if len(unit) <= LONGEST_REMEMBERED:
             if len(self.kept) >= REMEMBERED:
-                self.kept.clear()
+                self.older, self.kept = self.kept, {}
             self.kept[unit] = found
         return found
 
@@ -177,8 +184,8 @@ class PrefixTable:
         if not text:
             empty = hashlib.sha256(b"").hexdigest()
             return 0, empty, empty
-        get, look = self.kept.get, self._look
-        found = [get(u) or look(u) for u in self.units(SPACE + text.replace(" ", SPACE))]
+        look = self._look
+        found = [self.kept.get(u) or look(u) for u in self.units(SPACE + text.replace(" ", SPACE))]
         ids = b"".join([f[0] for f in found])
         decoded = b"".join([f[1] for f in found])
         return ids.count(b","), hashlib.sha256(ids[:-1]).hexdigest(), hashlib.sha256(decoded[1:]).hexdigest()
