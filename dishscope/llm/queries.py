@@ -28,3 +28,21 @@ def op5_prefix_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 
     return prefix_bpe.digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every text's ids as patched frame-of-reference files and read them back."""
+    from . import packed_ids
+    from .common import documents
+
+    return packed_ids.round_trip(spark, documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to their sources' target weights."""
+    from . import mixing
+    from .common import documents
+
+    return mixing.mixed_sizes(documents(spark, sf_dir))
