@@ -152,42 +152,107 @@ class PackedFile:
 class WordIds:
     """Ids of texts by the tokenizers library, each distinct word encoded once while it is remembered.
 
-    Valid for tokenizers that drop white space and never join characters across
-    it, as those with word ends do; ``check`` refuses others.
+    Valid for tokenizers that drop white space, never join characters across it
+    and mark word ends, as ``check`` makes sure.  Words of plain and Latin-1
+    letters are cut into the tokenizer's own pieces, which are given to the
+    library many at once; every other word is given to it whole.
     """
 
     REMEMBERED = 400_000
+    TOGETHER = 400
 
     def __init__(self, source: str):
+        import json
+        import re
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.spec = json.loads(source)
+        mark = self.spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(mark) and token.endswith(mark)
+        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
+        self.simple = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+        # the split pattern of the tokenizer, over these letters
+        self.pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
         self.kept: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def check(self) -> None:
         t = self.tokenizer
-        for a, b in (("ab", "cd"), ("1", "2"), ("x.", "'s"), ("é", "́")):
+        split = self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if split != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" or not self.ends.any():
+            raise ValueError("this tokenizer splits words in another way")
+        for a, b in (("ab", "cd"), ("1", "2"), ("x.", "'s"), ("é", "\u0301")):
             for gap in " \t\n\r\x0b\x0c":
                 both = t.encode(a + gap + gap + b, add_special_tokens=False).ids
                 if both != t.encode(a, add_special_tokens=False).ids + t.encode(b, add_special_tokens=False).ids:
                     raise ValueError("this tokenizer does not treat words one by one")
 
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for a in range(0, len(new), 40 * self.TOGETHER):
+            groups = [new[b : b + self.TOGETHER] for b in range(a, min(len(new), a + 40 * self.TOGETHER), self.TOGETHER)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                last = np.nonzero(self.ends[ids])[0] + 1
+                if len(last) == len(group):  # as many word ends as pieces
+                    size, data, at = self.kind.itemsize, ids.tobytes(), 0
+                    for piece, end in zip(group, (last * size).tolist(), strict=True):
+                        self.known[piece] = data[at:end]
+                        at = end
+                else:
+                    self.known.update(zip(group, self._alone(group), strict=True))
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, kept, missing = self.known, self.kept, set()
+        if len(known) > self.REMEMBERED:
+            known.clear()
+        plain, cut, whole = [], [], []
+        for w in new:
+            text = w.decode()
+            if self.plain(text):  # letters alone, or with one mark: by far the most
+                text = text.lower()
+                last = text[-1]
+                if last in ".,":
+                    text = text[:-1]
+                    plain.append((w, text, last))
+                else:
+                    plain.append((w, text, None))
+                if text not in known:
+                    missing.add(text)
+            elif self.simple(text) and b"<|" not in w:
+                ps = self.pieces(text.lower())
+                cut.append((w, ps))
+                missing.update(p for p in ps if p not in known)
+            else:
+                whole.append((w, text))
+        missing.update(p for p in ".," if p not in known)
+        self._learn_pieces(list(missing))
+        for w, text, last in plain:
+            kept[w] = known[text] + known[last] if last else known[text]
+        for w, ps in cut:
+            kept[w] = b"".join([known[p] for p in ps])
+        for (w, _), ids in zip(whole, self._alone([t for _, t in whole]), strict=True):
+            kept[w] = ids
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        kept = self.kept
-        if len(kept) > self.REMEMBERED:
-            kept.clear()
-        for a in range(0, len(words), 256):  # few texts at once, so that what is new fits in memory
-            new = list({w for ws in words[a : a + 256] for w in ws if w not in kept})
-            for c in range(0, len(new), 20_000):
-                some = new[c : c + 20_000]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    kept[w] = np.array(e.ids, self.kind).tobytes()
-            words[a : a + 256] = [b"".join([kept[w] for w in ws]) for ws in words[a : a + 256]]
-            if len(kept) > 2 * self.REMEMBERED:
+        out, kept = [], self.kept
+        for a in range(0, len(texts), 512):  # few texts at once, so that what is new fits in memory
+            words = [t.split() for t in texts[a : a + 512]]
+            if len(kept) > self.REMEMBERED:
                 kept.clear()
-        return words
+            new: set[bytes] = set()
+            for ws in words:
+                new.update(set(ws).difference(kept))
+            self._learn(new)
+            out += [b"".join(map(kept.__getitem__, ws)) for ws in words]
+        return out
 
 
 _ENCODERS: dict[int, WordIds] = {}
@@ -207,8 +272,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, docs_p
     key = hash(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
+        gc.disable()  # many small objects and no cycles
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyarrow import fs
 
