@@ -158,7 +158,8 @@ class WordIds:
     library many at once; every other word is given to it whole.
     """
 
-    REMEMBERED = 400_000
+    REMEMBERED = 500_000
+    PIECES = 800_000
     TOGETHER = 400
 
     def __init__(self, source: str):
@@ -211,7 +212,7 @@ class WordIds:
 
     def _learn(self, new: set[bytes]) -> None:
         known, kept, missing = self.known, self.kept, set()
-        if len(known) > self.REMEMBERED:
+        if len(known) > self.PIECES:
             known.clear()
         plain, cut, whole = [], [], []
         for w in new:
