@@ -46,3 +46,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 
     return mixing.mixed_sizes(documents(spark, sf_dir))
+
+
+@query
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components on shingles of four words at a similarity of 0.8."""
+    from . import near_dedup
+    from .common import documents
+
+    return near_dedup.near_duplicates(documents(spark, sf_dir), k=4).select("doc_id", "n_shingles", "component_id", "kept")
