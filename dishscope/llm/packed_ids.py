@@ -38,6 +38,12 @@ HEAD = struct.Struct("<4sIQQQQ")
 STEP = 4096  # blocks handled at once, for bounded memory
 
 
+def _bits(x: np.ndarray, w: int) -> np.ndarray:
+    """A row of the low ``w`` bits for each number."""
+    wide = 16 if w <= 16 else 32
+    return np.unpackbits(x.astype(f">u{wide // 8}").view(np.uint8).reshape(-1, wide // 8), axis=1)[:, wide - w :]
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """(starts, minima, widths, exception counts, payload) of uint32 ids."""
     n = -(-len(ids) // BLOCK)
@@ -61,7 +67,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         for w in np.unique(width):
             if w:
                 own = np.nonzero(width == w)[0]
-                bits = np.unpackbits(x[own].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - int(w) :]
+                bits = _bits(x[own], int(w))
                 packed = np.packbits(bits.reshape(len(own), -1), axis=1)
                 out[start[own][:, None] + np.arange(packed.shape[1])] = packed
         if len(row):
@@ -90,9 +96,10 @@ def unpack(starts: np.ndarray, minima: np.ndarray, widths: np.ndarray, counts: n
             if w:
                 own = np.nonzero(width == w)[0]
                 packed = payload[start[own][:, None] + np.arange(int(w) * (BLOCK // 8))]
-                bits = np.zeros((len(own) * BLOCK, 32), np.uint8)
-                bits[:, 32 - int(w) :] = np.unpackbits(packed, axis=1).reshape(-1, int(w))
-                x[own] = np.packbits(bits, axis=1).view(">u4").reshape(len(own), BLOCK)
+                wide = 16 if w <= 16 else 32
+                bits = np.zeros((len(own) * BLOCK, wide), np.uint8)
+                bits[:, wide - int(w) :] = np.unpackbits(packed, axis=1).reshape(-1, int(w))
+                x[own] = np.packbits(bits, axis=1).view(f">u{wide // 8}").reshape(len(own), BLOCK)
         if total := int(count.sum()):
             row = np.repeat(np.arange(len(start)), count)
             nth = np.arange(total) - np.searchsorted(row, row)
