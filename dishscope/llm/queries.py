@@ -55,3 +55,27 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 
     return near_dedup.near_duplicates(documents(spark, sf_dir), k=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op9_vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors, by integer inner product, of every fiftieth vector."""
+    from . import vector_file
+
+    return vector_file.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE["op9_vector_file"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
