@@ -88,3 +88,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts."""
+    from . import fingerprints
+    from .common import documents
+
+    return fingerprints.edited_pairs(documents(spark, sf_dir))
