@@ -97,3 +97,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 
     return fingerprints.edited_pairs(documents(spark, sf_dir))
+
+
+@query
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based language-model scores of all texts."""
+    from . import brown_lm
+    from .common import documents
+
+    return brown_lm.scored(documents(spark, sf_dir))
