@@ -36,7 +36,7 @@ from .components import components
 
 TREES, FIRST, DEEPER = 32, 4, 4
 HASHES = TREES * FIRST
-NEIGHBOURS = 8
+NEIGHBOURS = 4
 #: Bits of the filter for texts to read again; a fuller filter only lets more texts pass.
 FILTER_BITS = 1 << 24
 WORDS_REMEMBERED = 400_000
@@ -208,11 +208,11 @@ def large_members(regions: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): each class of a large region with the region's most connected class."""
+    """(a, b): each class of a large region with the region's most connected class, once for each region."""
     known = members.groupBy("node").agg(F.sum("m").alias("fame"))
     pivots = members.select("region", "node", "n").join(known, "node").groupBy("region").agg(F.max_by(F.struct("node", "n"), F.struct("fame", "node")).alias("p"))
     fits = den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")
-    return members.join(pivots, "region").filter(fits & (F.col("node") != F.col("p.node"))).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+    return members.join(pivots, "region").filter(fits & (F.col("node") != F.col("p.node"))).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
 
 
 def prefix_pairs(sets: DataFrame, asked: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -268,10 +268,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     near = scratch.table(near, "pairs")
     scratch.drop("neighbours")
 
-    # first each class's likeliest partner: the one met in most trees, of these the one met by most classes
+    # first each class's likeliest partner: the one met most often, in most trees or as the pivot of most regions
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "times"))
-    fame = both.groupBy("b").agg(F.sum("times").alias("fame"))
-    first = both.join(fame, "b").groupBy("a").agg(F.max_by("b", F.struct("times", "fame", "b")).alias("b"))
+    first = both.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     first = scratch.table(first.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b"), "first")
     involved = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
     sets = scratch.table(shingle_sets(docs, k, scratch.table(involved, "involved")), "sets")
