@@ -106,3 +106,12 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 
     return brown_lm.scored(documents(spark, sf_dir))
+
+
+@query
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all texts: base spans and those the boosted trees add."""
+    from . import private_data
+    from .common import documents
+
+    return private_data.found(documents(spark, sf_dir))
