@@ -1,12 +1,73 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: five stages over the documents table, each on what the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
+stage's rows as Parquet in the shared scratch folder and reads them back as the
+next stage's input.  All but the last stage return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from dishscope.llm import mixing, near_dedup, prefix_bpe, private_data, toxicity
+from dishscope.llm.common import Scratch, documents
+from dishscope.llm.queries import tokenizer_file
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects the documents that the classifier, learnt from ``labels``, finds toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = docs.columns
+    scored = toxicity.scores(docs, model, names)
+    return scored.filter(F.col("__score") < 0.5).select(*[F.col(f"`{c}`") for c in names])
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of near duplicates on shingles of five words."""
+    found = near_dedup.near_duplicates(docs, k=5)
+    stays = found.filter("stays").select(F.col("row").alias("__row"), (F.col("n_shingles") == 0).alias("__alone")).distinct()
+    tagged = docs.withColumn("__row", near_dedup.row_of(F.col("`doc_id`"), F.col("`text`")))
+    kept = tagged.join(stays, "__row")
+    # rows that repeat an id with its text are one document; those without words are all kept
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
+    return kept.withColumn("__nth", nth).filter(F.col("__alone") | (F.col("__nth") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind."""
+    return private_data.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its source's target asks for."""
+    return mixing.mixed_rows(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts and decodes them again."""
+    return prefix_bpe.digests(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", one_of_each),
+    ("personal data", redact),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
 
-STAGES: list = []
+#: Classifier, MinHash and piece encoding have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.table(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
+    return docs

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick
@@ -88,9 +88,14 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def row_of(doc_id: Column, text: Column) -> Column:
+    """The number that stands for a row: a hash of its id and text."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def _row_key(docs: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
+    return rows.select("doc_id", row_of(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("binary").alias("text"))
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:

@@ -135,8 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def scores(docs: DataFrame, model: Model, columns: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """The named columns and the score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = pick(docs, *columns, "text").withColumn("__text", F.col("`text`").cast("binary"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in columns], "__text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("`text`").cast("binary").alias("__text"))
     schema = rows.drop("__text").withColumn("__score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
