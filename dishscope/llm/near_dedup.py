@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     more = scratch.table(confirmed(apart(near.select("a", "b"), side).join(tried, ["a", "b"], "left_anti"), sets, num, den), "links2")
     joined = scratch.table(components(links.unionByName(more), scratch, "two"), "found2")
     side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731,F811
-    away = scratch.table(apart(pivots, side).select(F.col("a").alias("node")).distinct(), "away")
+    away = scratch.table(apart(pivots.distinct(), side).select(F.col("a").alias("node")).distinct(), "away")
     live = members.join(members.join(away, "node").select("region").distinct(), "region", "left_semi").select("node").distinct()
     partners = apart(prefix_pairs(sets.join(live, F.col("row") == F.col("node"), "left_semi"), away, num, den, scratch), side)
     partners = partners.join(near.select("a", "b"), ["a", "b"], "left_anti")
