@@ -125,7 +125,7 @@ def label_components(grid: DataFrame, keys: list[str], mask: str, connectivity:
 def bilinear(grid: DataFrame, keys: list[str], points: DataFrame, value: str, out: str = "value") -> DataFrame:
     """Points (keys, px, py) with the value between their four pixels; null outside."""
     p = points.withColumn("_x", F.floor("px").cast("int")).withColumn("_y", F.floor("py").cast("int")).withColumn("_id", F.monotonically_increasing_id())
-    corners = F.array(*[F.struct((F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"), ((F.col("px") - F.col("_x")) if dx else (1 - F.col("px") + F.col("_x"))).alias("u"), ((F.col("py") - F.col("_y")) if dy else (1 - F.col("py") + F.col("_y"))).alias("v")) for dx in (0, 1) for dy in (0, 1)])
-    parts = p.select(*keys, "px", "py", "_id", F.explode(corners).alias("c")).select(*keys, "px", "py", "_id", "c.*").filter("u * v > 0")
-    sums = parts.join(grid.select(*keys, "x", "y", value), [*keys, "x", "y"], "left").groupBy(*keys, "px", "py", "_id").agg(F.sum(F.col("u") * F.col("v") * F.col(value)).alias(out), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_all"))
+    corners = F.array(*[F.struct((F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"), ((F.col("px") - F.col("_x")) if dx else (1 - F.col("px") + F.col("_x"))).alias("_u"), ((F.col("py") - F.col("_y")) if dy else (1 - F.col("py") + F.col("_y"))).alias("_w")) for dx in (0, 1) for dy in (0, 1)])
+    parts = p.select(*keys, "px", "py", "_id", F.explode(corners).alias("c")).select(*keys, "px", "py", "_id", "c.*").filter("_u * _w > 0")
+    sums = parts.join(grid.select(*keys, "x", "y", value), [*keys, "x", "y"], "left").groupBy(*keys, "px", "py", "_id").agg(F.sum(F.col("_u") * F.col("_w") * F.col(value)).alias(out), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_all"))
     return sums.select(*keys, "px", "py", F.when(F.col("_n") == F.col("_all"), F.col(out)).alias(out))
