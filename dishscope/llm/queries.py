@@ -115,3 +115,12 @@ def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import documents
 
     return private_data.found(documents(spark, sf_dir))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, with models learnt from all documents."""
+    from . import language_id
+    from .common import documents
+
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
