@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, remainder
+from .common import Scratch, pick, remainder
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -68,21 +68,34 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+def ratios(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Scaled log-count ratios from the numbers of toxic and other texts with each place; 0 where too little is known."""
+    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((n + 1) / (n + 1).sum())
+    keep = (p + n >= 3) & (np.abs(ratio) >= LEAST_RATIO)
+    ratio[~keep] = 0
+    return ratio * np.sqrt(1 / np.mean(ratio[keep] ** 2)) if keep.any() else ratio
+
+
+def counted(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of toxic and of other texts with each place."""
+    p, n = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for places, label in zip(rows, labels, strict=True):
+        (p if label else n)[places] += 1
+    return p, n
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """The classifier from the places of each text and its label."""
+    ratio = ratios(*counted(rows, labels))
+    return regress([r[ratio[r] != 0] for r in rows], labels, ratio)
+
+
+def regress(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> Model:
+    """Logistic regression on the ratios of each text's places."""
     y = labels.astype(np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    p = np.zeros(1 << BITS)
-    n = np.zeros(1 << BITS)
-    for places, label in zip(rows, labels, strict=True):
-        (p if label else n)[places] += 1
-    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((n + 1) / (n + 1).sum())
-    keep = (p + n >= 3) & (np.abs(ratio) >= LEAST_RATIO)
-    ratio[~keep] = 0
-    ratio *= np.sqrt(1 / np.mean(ratio[keep] ** 2)) if keep.any() else 0
-    rows = [r[keep[r]] for r in rows]
     weight, b = np.zeros(1 << BITS), float(np.log(y.mean() / (1 - y.mean())))
     sizes = np.array([max(1, len(r)) for r in rows])
     # texts in stretches of bounded length
@@ -127,9 +140,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # at most ``sample`` rows of two numbers are broadcast; the texts stay where they are
     found = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "toxic", "text")
-    found = found.mapInArrow(run, "doc_id long, toxic int, places binary").toArrow().sort_by("doc_id")
-    rows = [np.frombuffer(b, np.uint32) for b in found.column("places").to_pylist()]
-    return fit(rows, np.array(found.column("toxic").to_pylist(), np.int64))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    # the sample's places stay in a table; only counts, and the places that are trained on, come to the driver
+    table = scratch.table(found.mapInArrow(run, "doc_id long, toxic int, places binary"), "places")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, n = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            a, b = counted([np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()], batch.column(1).to_pylist())
+            p += a
+            n += b
+        at = np.nonzero(p + n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(p[at]), pa.array(n[at])], ["place", "p", "n"])
+
+    sums = table.mapInArrow(count, "place int, p long, n long").groupBy("place").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    sums = sums.filter(F.col("p") + F.col("n") > 0).toArrow()
+    p, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    p[sums.column("place").to_numpy()], n[sums.column("place").to_numpy()] = sums.column("p").to_numpy(), sums.column("n").to_numpy()
+    ratio = ratios(p, n)
+    del sums, p, n
+    known = docs.sparkSession.sparkContext.broadcast(np.packbits(ratio != 0))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(known.value).astype(bool)
+        for batch in batches:
+            places = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[own[x]].tobytes() for x in places], pa.binary())], ["doc_id", "toxic", "places"])
+
+    used = table.mapInArrow(keep, "doc_id long, toxic int, places binary").toArrow().sort_by("doc_id")
+    scratch.drop("places")
+    rows = [np.frombuffer(x, np.uint32) for x in used.column("places").to_pylist()]
+    return regress(rows, np.array(used.column("toxic").to_pylist(), np.int64), ratio)
 
 
 def scores(docs: DataFrame, model: Model, columns: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
