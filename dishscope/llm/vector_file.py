@@ -35,7 +35,7 @@ def integer_vectors(df: DataFrame, id_name: str = "vec_id", vector: str = "embed
     """vec_id, dim, v (array of longs) of the rows that take part."""
     rows = pick(df, id_name, vector).select(F.col(id_name).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
     sound = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float(1 << 22) / scale))
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & sound).select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda e: F.floor(e * float(scale)).cast("int")).alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & sound).select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda e: F.floor(e * float(scale)).try_cast("int")).alias("v"))
 
 
 def cell_edges(rows: DataFrame, scratch: Scratch) -> dict[int, np.ndarray]:
@@ -137,7 +137,7 @@ def _exact(table: DataFrame, shared, floors, k: int) -> DataFrame:
             rows = part.column(3).to_pylist()
             seen: dict[int, np.ndarray] = {}
             for i in np.nonzero((high >= need[dim][:, None]).any(axis=1))[0]:
-                near = np.nonzero(high[i] >= need[dim][i])[0]
+                near = np.nonzero((high[i] >= need[dim][i]) & np.isfinite(high[i]))[0]
                 near = near[np.argsort(-high[i, near], kind="stable")]
                 own = best.setdefault(int(block.ids[i]), [])
                 for at in range(0, len(near), 4 * k):  # exact vectors, in the order of their bounds
