@@ -309,6 +309,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("__spans", zero, add, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
     changed = F.when(F.size("__spans") > 0, done).otherwise(F.col("`text`"))
-    # the length of a copy: a string just built can carry a stale count of its characters
-    columns = [changed.alias("text") if c == "text" else F.length(F.concat(changed, F.lit(""))).cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    # a name of its own: beside an alias named text, a lambda's text would be taken for the new one
+    tagged = tagged.withColumn("__text", changed)
+    columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return tagged.select(*columns)
