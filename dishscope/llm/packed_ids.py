@@ -255,10 +255,10 @@ class WordIds:
             words = [t.split() for t in texts[a : a + 512]]
             if len(kept) > self.REMEMBERED:
                 kept.clear()
-            new: set[bytes] = set()
+            distinct: set[bytes] = set()
             for ws in words:
-                new.update(set(ws).difference(kept))
-            self._learn(new)
+                distinct.update(ws)
+            self._learn(distinct.difference(kept))
             out += [b"".join(map(kept.__getitem__, ws)) for ws in words]
         return out
 
