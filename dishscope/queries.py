@@ -291,7 +291,7 @@ def metadata_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.attach_metadata(c, m, "plate_id", "o_orderkey")
 
 
-@query("""SELECT n_nationkey AS id, n_name AS name, CAST(NULL AS BIGINT) AS supp, 'nation' AS part FROM nation UNION ALL SELECT r_regionkey, r_name, NULL, 'region' FROM region UNION ALL SELECT s_nationkey, NULL, s_suppkey, 'supplier' FROM supplier""")
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(NULL AS BIGINT) AS supp, 'nation' AS part FROM nation UNION ALL SELECT r_regionkey, r_name, NULL, 'region' FROM region UNION ALL SELECT s_nationkey, NULL, s_suppkey, 'supplier' FROM supplier""")
 def union_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("nation").alias("part"))
     r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"), F.lit("region").alias("part"))

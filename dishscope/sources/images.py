@@ -38,6 +38,12 @@ def orientation(content: bytes) -> int:
     return 1
 
 
+def _orientations(heads):
+    import pandas as pd
+
+    return pd.Series([orientation(bytes(h)) if h is not None else 1 for h in heads], dtype="int32")
+
+
 def upright(picture: np.ndarray, turn: int) -> np.ndarray:
     """The picture as its EXIF orientation wants it shown."""
     if turn in (5, 6, 7, 8):
@@ -57,7 +63,7 @@ def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     head = raw.select("path", F.substring(F.col("content"), 1, 65536 * 2).alias("head"))
     seen = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
     joined = head.join(seen, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("origin", "^file:/+", "/"), "left")
-    turn = F.udf(orientation, "int")(F.col("head"))
+    turn = F.pandas_udf(_orientations, "int", F.PandasUDFType.SCALAR)(F.col("head"))
     return joined.select("path", stem(F.col("path")).alias("plate_id"), "height", "width", F.col("nChannels").alias("channels"), "data", turn.alias("turn"))
 
 
