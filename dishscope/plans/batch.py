@@ -199,7 +199,8 @@ def analyze_plates(spark: SparkSession, paths: str | list[str], metadata: DataFr
     if metadata is not None:
         from ..operators.relational import first_rows, stem
 
-        sheet = metadata.withColumn("_order", F.monotonically_increasing_id()).withColumn("plate_id", F.coalesce(stem(F.col("file")), F.col("plate_id")) if "file" in metadata.columns else F.col("plate_id"))
+        ids = [stem(F.col("file"))] * ("file" in metadata.columns) + [F.col("plate_id")] * ("plate_id" in metadata.columns)
+        sheet = metadata.withColumn("_order", F.monotonically_increasing_id()).withColumn("plate_id", F.coalesce(*ids))
         sheet = first_rows(sheet.filter("plate_id is not null"), "plate_id", "_order")
     if callable(layout):
         known = {r["plate_id"]: r.asDict() for r in sheet.collect()} if sheet is not None else {}  # a row a plate

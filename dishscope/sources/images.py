@@ -67,6 +67,11 @@ def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return joined.select("path", stem(F.col("path")).alias("plate_id"), "height", "width", F.col("nChannels").alias("channels"), "data", turn.alias("turn"))
 
 
+def is_images(df: object) -> bool:
+    """Whether a table has what ``analyze`` reads of an image."""
+    return isinstance(df, DataFrame) and {"plate_id", "height", "width", "channels", "data", "turn"} <= set(df.columns)
+
+
 def to_array(height: int, width: int, channels: int, data: bytes, turn: int = 1) -> np.ndarray:
     """RGB in 0..1; grey pictures become three equal channels, alpha is dropped."""
     x = np.frombuffer(data, np.uint8).reshape(height, width, channels)

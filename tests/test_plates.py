@@ -88,3 +88,26 @@ def test_files(spark, tmp_path):
     s = simulate(width=150, height=200)
     m = render.melanization_map(np.stack([np.full((200, 150), 40.0)] * 3, axis=-1), s["truth"]["labels"], 0.5)
     assert m["mi_range"][0] <= 60 <= m["mi_range"][1] and m["height"].shape[0] <= 200
+
+
+def test_examples_and_folders(spark, tmp_path):
+    from dishscope.operators.layout import layout_by_treatment
+    from dishscope.sources.simulate import example_plates
+    from dishscope.streaming.watch import watch
+
+    folder, out = tmp_path / "pictures", tmp_path / "out"
+    folder.mkdir()
+    paths = example_plates(str(folder))
+    assert len(paths) == 2 and images.is_images(images.read_images(spark, paths)) and not images.is_images(3)
+    sheet = spark.createDataFrame([("confrontation.png", "bacteria"), ("control.png", "control")], "file string, treatment string")
+    r = batch.analyze_plates(spark, str(folder), sheet, layout_by_treatment, batch.Settings(n_boot=20))
+    rows = r.colonies.collect()
+    assert len(rows) == 8 and {x["plate_id"]: x["treatment"] for x in rows} == {"confrontation": "bacteria", "control": "control"} and r.failed.count() == 0
+    batch.write_result(r, str(out))
+    assert spark.read.option("header", True).csv(str(out / "plates")).count() == 2
+    seen = []
+    q = watch(spark, str(folder), str(tmp_path / "state"), lambda result, n: seen.append(result.plates.count()), settings=batch.Settings(n_boot=0))
+    q.awaitTermination()
+    assert seen == [2]
+    marks = classify.annotated([("fungus", 3, 4)], 0.1)
+    assert marks == [("fungus", 3.0, 4.0, 5.0)]
