@@ -297,9 +297,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     model = train(scratch.table(rows.select("doc_id", candidates(F.col("text")).alias("candidates")).filter(F.size("candidates") > 0), "candidates"))
     scratch.drop("candidates")
-    spans = all_spans(base_spans(text), candidates(text), model)
-    every = F.array_sort(F.concat(*[F.transform(spans[k], _of_kind(k)) for k in KINDS]))
-    tagged = docs.withColumn("__spans", every)
+    # columns of their own, so that each pattern goes over a text once
+    base = base_spans(text)
+    found_ = docs.withColumns({**{f"__{k}": base[k] for k in KINDS}, "__found": candidates(text)})
+    spans = all_spans({k: F.col(f"__{k}") for k in KINDS}, F.col("__found"), model)
+    tagged = found_.withColumns({f"__s_{k}": spans[k] for k in KINDS})
+    every = F.array_sort(F.concat(*[F.transform(f"__s_{k}", _of_kind(k)) for k in KINDS]))
+    tagged = tagged.withColumn("__spans", every)
     whole = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
