@@ -123,10 +123,9 @@ def shingle_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     """row, shingles of the rows in ``wanted`` (row); a bit filter of fixed size spares most other texts."""
     spark = docs.sparkSession
     bit = F.pmod(F.col("row"), F.lit(FILTER_BITS))
-    words = wanted.select((bit / 32).cast("int").alias("w"), F.pow(F.lit(2), bit % 32).cast("long").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    words = wanted.select((bit / 32).cast("int").alias("w"), F.pow(F.lit(2), bit % 32).cast("long").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(FILTER_BITS // 32, np.uint32)  # at most one row a word: the size is fixed
-    for w, b in words:
-        bits[w] = b
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
     shared = spark.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,31 +96,37 @@ def regress(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> Mo
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    weight, b = np.zeros(1 << BITS), float(np.log(y.mean() / (1 - y.mean())))
-    sizes = np.array([max(1, len(r)) for r in rows])
+    # only the places that are trained on get a weight
+    used = np.nonzero(ratio)[0]
+    number = np.zeros(1 << BITS, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    own, k = ratio[used], len(used)
+    weight, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
+    some = np.array([i for i, r in enumerate(rows) if len(r)], np.int64)
+    sizes = np.array([len(rows[i]) for i in some], np.int64)
+    flat = number[np.concatenate([rows[i] for i in some])] if len(some) else np.zeros(0, np.int32)
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     # texts in stretches of bounded length
-    cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 21, sizes.sum() + (1 << 21), 1 << 21)) + 1
-    bounds = sorted({0, *np.minimum(cuts, len(rows)).tolist(), len(rows)})
-    m, v, mb, vb = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
+    cuts = np.searchsorted(starts, np.arange(1 << 20, len(flat) + (1 << 20), 1 << 20))
+    bounds = sorted({0, *np.minimum(cuts, len(some)).tolist(), len(some)})
+    m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        scaled = weight * ratio
-        grad, gb = np.zeros(1 << BITS), 0.0
-        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-            some = [r if len(r) else np.zeros(1, np.uint32) for r in rows[a:z]]
-            if not some:
-                continue
-            flat, size = np.concatenate(some), sizes[a:z]
-            s = np.add.reduceat(scaled[flat], np.concatenate([[0], np.cumsum(size)[:-1]])) + b
-            g = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[a:z]
-            grad += np.bincount(flat, np.repeat(g, size), 1 << BITS)
-            gb += g.sum()
-        grad = grad * ratio / len(rows) + PENALTY * weight
-        gb /= len(rows)
+        scaled, score = weight * own, np.full(len(rows), b)
+        grad = np.zeros(k)
+        for c, d in zip(bounds[:-1], bounds[1:], strict=True):
+            part = flat[starts[c] : starts[d]]
+            score[some[c:d]] += np.add.reduceat(scaled[part], starts[c:d] - starts[c])
+        g = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
+        for c, d in zip(bounds[:-1], bounds[1:], strict=True):
+            grad += np.bincount(flat[starts[c] : starts[d]], np.repeat(g[some[c:d]], sizes[c:d]), k)
+        grad, gb = grad * own / len(rows) + PENALTY * weight, g.sum() / len(rows)
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = RATE * min(1.0, 2.5 * (1 - t / (STEPS + 1)))
         weight -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
-    return Model((weight * ratio).astype(np.float32), b)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = weight * own
+    return Model(weights, b)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -167,9 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             places = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[own[x]].tobytes() for x in places], pa.binary())], ["doc_id", "toxic", "places"])
 
-    used = table.mapInArrow(keep, "doc_id long, toxic int, places binary").toArrow().sort_by("doc_id")
+    used = table.mapInArrow(keep, "doc_id long, toxic int, places binary").orderBy("doc_id", "places").toArrow()
     scratch.drop("places")
-    rows = [np.frombuffer(x, np.uint32) for x in used.column("places").to_pylist()]
+    rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in used.column("places")]  # views, not copies
     return regress(rows, np.array(used.column("toxic").to_pylist(), np.int64), ratio)
 
 
