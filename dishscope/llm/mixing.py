@@ -3,8 +3,8 @@
 Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share all
 words; a source's target stops at three times its size and the excess goes to
 the others by weight.  Each source's documents stand in a random order, are
-taken in whole passes and one part of a pass, and the taken stream is cut into
-blocks.  A tree over the output shards splits the exact block quotas: at each
+taken in whole passes and one part of a pass, which leaves out rows too long for
+what is missing until no row fits, and the taken stream is cut into blocks.  A tree over the output shards splits the exact block quotas: at each
 node, how many blocks of each source go left is one multivariate-hypergeometric
 draw, so the shards together are a uniform shuffle of all blocks, but no node
 sees more than one number per source.  A shard then draws its own run of each
@@ -20,6 +20,8 @@ node, per source).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,6 @@ FEW_SOURCES = 10_000
 
 
 SEED = 17
-#: Single rows with which a source's last gap is closed: the largest that fit, then the nearest.
-FILLS = 4
 
 
 def _key(doc_id: Column, source: Column, text: Column, seed: int) -> Column:
@@ -174,33 +174,48 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = 4096, shard_words:
     rows = rows.withColumn("want", F.col("target") - F.col("passes") * F.col("source_size"))
     buckets = F.ceil(F.col("n_docs") / docs_per_bucket)
     rows = rows.withColumn("bucket", F.floor(F.shiftrightunsigned(F.col("key"), 11) / F.lit(float(1 << 53)) * buckets).cast("long"))
-    rows = scratch.table(running_before(rows, ["rank"], "bucket", [F.shiftrightunsigned("key", 1), F.col("key"), F.col("doc_id"), F.col("size"), F.col("rid")], "size", "before"), "placed")
+    order = [F.shiftrightunsigned("key", 1), F.col("key"), F.col("doc_id"), F.col("size"), F.col("rid")]
+    rows = scratch.table(running_before(rows, ["rank"], "bucket", order, "size", "before"), "placed")
 
-    # the part of a pass: the rows that fit, then single rows for what is still missing
+    # the part of a pass: the rows that fit along the order; then again along it without
+    # the rows that are too long for what is missing, until none fits; then the nearest row
     fits = F.col("before") + F.col("size") <= F.col("want")
     part = rows.filter(fits & (F.col("want") > 0)).groupBy("rank").agg(F.max(F.col("before") + F.col("size")).alias("part"))
     gaps = sources.select("rank", "source_size", whole.alias("passes"), (F.col("target") - whole * F.col("source_size")).alias("want")).join(part, "rank", "left")
-    gaps = gaps.select("rank", "source_size", "passes", "want", F.coalesce("part", F.lit(0)).alias("part"), F.expr("cast(array() as array<struct<rid: bigint, at: bigint>>)").alias("fill"))
-    for step in range(FILLS):
-        gaps = scratch.table(gaps, f"gaps{step}")
-        open_gap = gaps.select("rank", (F.col("want") - F.col("part")).alias("missing"), "fill")
-        near = rows.filter(~fits & (F.col("size") > 0)).select("rank", "rid", "size", "key").join(F.broadcast(open_gap) if few else open_gap, "rank")
-        near = near.filter(~F.exists("fill", lambda f: f["rid"] == F.col("rid")))
-        off = F.abs(F.col("size") - F.col("missing"))
-        near = near.filter(F.col("size") <= F.col("missing") if step < FILLS - 1 else off < F.col("missing"))
-        best = near.groupBy("rank").agg(F.min_by(F.struct("rid", "size"), F.struct(off, F.col("key"), F.col("rid"))).alias("best"))
-        gaps = gaps.join(best, "rank", "left")
-        got = F.col("best").isNotNull()
-        gaps = gaps.select("rank", "source_size", "passes", "want", F.when(got, F.col("part") + F.col("best.size")).otherwise(F.col("part")).alias("part"), F.when(got, F.concat("fill", F.array(F.struct(F.col("best.rid").alias("rid"), F.col("part").cast("long").alias("at"))))).otherwise(F.col("fill")).alias("fill"))
-    ends = gaps.select("rank", "fill", (F.col("passes") * F.col("source_size") + F.col("part")).alias("taken"))
+    gaps = scratch.table(gaps.withColumn("part", F.coalesce("part", F.lit(0)).cast("long")), "gaps")
+    rest = rows.filter(~fits & (F.col("size") > 0)).select("rank", "bucket", "rid", "doc_id", "key", "size")
+    first = F.col("passes") * F.col("source_size") + F.col("part")
+    fills, step = [], 0
+    while True:
+        open_gap = gaps.select("rank", (F.col("want") - F.col("part")).alias("missing"), F.col("passes").cast("int").alias("copy"), first.alias("first"))
+        near = rest.join(F.broadcast(open_gap) if few else open_gap, "rank").filter(F.col("size") <= F.col("missing"))
+        near = scratch.table(running_before(near, ["rank"], "bucket", order, "size", "skipped"), f"near{step}")
+        closes = F.col("skipped") + F.col("size") <= F.col("missing")
+        fill = near.filter(closes).select("rank", "rid", "size", "copy", (F.col("first") + F.col("skipped")).alias("at"))
+        got = fill.groupBy("rank").agg(F.sum("size").alias("got"))
+        gaps = scratch.table(gaps.join(got, "rank", "left").select("rank", "source_size", "passes", "want", (F.col("part") + F.coalesce("got", F.lit(0))).alias("part"), F.col("got").isNotNull().alias("more")), f"gaps{step}")
+        fills.append(fill)
+        if gaps.filter("more").isEmpty():
+            break
+        rest, step = near.filter(~closes).select("rank", "bucket", "rid", "doc_id", "key", "size"), step + 1
+    filled = reduce(DataFrame.unionByName, fills)
+    open_gap = gaps.select("rank", (F.col("want") - F.col("part")).alias("missing"), F.col("passes").cast("int").alias("copy"), first.alias("first"))
+    off = F.abs(F.col("size") - F.col("missing"))
+    near = rows.filter(~fits & (F.col("size") > 0)).select("rank", "rid", "size", "key").join(F.broadcast(open_gap) if few else open_gap, "rank").filter(off < F.col("missing"))
+    near = near.join(filled.select("rid"), "rid", "left_anti").groupBy("rank", "copy", "first").agg(F.min_by(F.struct("rid", "size"), F.struct(off, F.col("key"), F.col("rid"))).alias("best"))
+    last = scratch.table(near.select("rank", "best.rid", "best.size", "copy", F.col("first").alias("at")), "last")
+    filled = filled.unionByName(last)
+    gaps = gaps.join(last.select("rank", F.col("size").alias("got")), "rank", "left").withColumn("part", F.col("part") + F.coalesce("got", F.lit(0)))
+    ends = gaps.select("rank", (F.col("passes") * F.col("source_size") + F.col("part")).alias("taken"))
     ends = scratch.table(ends.withColumn("blocks", F.ceil(F.col("taken") / block_words)), "ends")
     rows = rows.join(F.broadcast(ends) if few else ends, "rank")
     at = lambda p: F.col("before") + p * F.col("source_size")
     passes = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), at)).otherwise(F.expr("cast(array() as array<bigint>)"))
     none = F.expr("cast(array() as array<bigint>)")
-    filled = F.transform(F.filter("fill", lambda f: f["rid"] == F.col("rid")), lambda f: F.col("passes") * F.col("source_size") + f["at"])
-    extra = F.when(fits & (F.col("want") > 0), F.array(at(F.col("passes")))).when(fits, none).otherwise(filled)
+    extra = F.when(fits & (F.col("want") > 0), F.array(at(F.col("passes")))).otherwise(none)
     taken = rows.select("rid", "rank", "blocks", F.posexplode(F.concat(passes, extra)).alias("copy", "at"))
+    filled = filled.join(F.broadcast(ends) if few else ends, "rank")
+    taken = taken.unionByName(filled.select("rid", "rank", "blocks", "copy", "at"))
     taken = taken.withColumn("block", F.least(F.floor(F.col("at") / block_words), F.greatest(F.col("blocks") - 1, F.lit(0))))
 
     # quotas down the tree, then each shard's run of every source's permuted blocks

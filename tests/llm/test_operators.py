@@ -326,6 +326,34 @@ def test_mixing(spark, docs, empty):
     assert mixed.columns == docs.columns
 
 
+def test_mixing_past_a_long_row(spark):
+    sizes = [("a", 25)] * 300 + [("a", 6000)] + [("b", 40)] * 300
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    for seed in (1, 2):
+        got = mixing.mixed_sizes(table, seed=seed, block_words=64, shard_words=5000).collect()
+        for s, least in (("a", 25), ("b", 40)):
+            own = [r for r in got if sizes[r.doc_id][0] == s]
+            target, taken = own[0].target, sum(r.taken for r in own)
+            passes = target // own[0].source_size
+            # the long row is taken as often as any other or once less; small rows close the rest to half of one
+            assert all(r.taken // r.size in (passes, passes + 1) and len(r.shards) == r.taken // r.size for r in own)
+            assert abs(taken - target) <= least / 2, (seed, s, taken, target)
+
+
+def test_mixing_leaves_no_row_that_fits(docs):
+    for seed in (17,):
+        rows = [r for r in mixing.mixed_sizes(docs, seed=seed, block_words=64, shard_words=1000).collect() if r.size]
+        by_source = collections.defaultdict(list)
+        for r in rows:  # the sums of all sources differ
+            by_source[r.source_size].append(r)
+        assert len(by_source) >= 5
+        for total, own in by_source.items():
+            missing = own[0].target - sum(r.taken for r in own)
+            passes = own[0].target // total
+            assert not any(r.taken == passes * r.size and abs(r.size - missing) < abs(missing) - 1e-6 for r in own), (seed, missing)
+
+
 def test_splitting_tree(spark):
     q = spark.createDataFrame([([30, 0, 5, 17],)], "k array<bigint>")
     for n in (1, 2, 7, 8):
