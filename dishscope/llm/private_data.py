@@ -95,7 +95,7 @@ def octets(v: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Array of (start, end, value) by kind: what the base patterns find and their checks keep."""
-    digit = text.rlike("[0-9][0-9]")
+    digit = text.rlike(r"[0-9][\x20-]?[0-9]")
     found = {
         "email": hits(text, BASE["email"], F.contains(text, F.lit("@"))),
         "ip": hits(text, BASE["ip"], text.rlike(r"[0-9]\.[0-9]")),
@@ -143,7 +143,7 @@ def candidates(text: Column) -> Column:
     """All proposed spans with their features: base patterns before their checks, and the wide ones."""
     needs = {"email": text.rlike(r"(?:\(at\)|\[at\]|\{at\}|\x20at\x20)"), "ip": text.rlike(r"[0-9]\x20?[.\[(]"), "card": text.rlike("[0-9]{4}"), "phone": text.rlike(r"[0-9][\x20./-][0-9]{3}")}
     wide = [_described(text, hits(text, WIDE[k], needs[k]), k, True) for k in KINDS]
-    again = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][0-9]"), "phone": text.rlike(r"\+[0-9]")}
+    again = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
     return F.concat(*[_described(text, hits(text, BASE[k], again[k]), k, False) for k in KINDS], *wide)
 
 

@@ -280,6 +280,17 @@ def test_private_data(spark, empty):
     assert [(r.text, r.size) for r in sorted(out)] == [("mail [EMAIL] and [IP], [PHONE].", "k"), (None, "k"), ("clean", "k")] and sorted(out)[0].n_chars == 31
 
 
+def test_cards_written_digit_by_digit(spark):
+    rows = [(1, "pay " + " ".join("4111111111111111") + " now"), (2, "-".join("4111111111111111")), (3, " ".join("4111111111111112"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in private_data.found(table).collect()}
+    for i, t in rows:
+        b = base_spans(t)
+        assert got[i].n_card == len(b[2]) == int(i < 3)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(s for k in b for s in k).encode()).hexdigest()
+    assert {r.doc_id: r.text for r in private_data.redacted(table).collect()} == {1: "pay [CARD] now", 2: "[CARD]", 3: rows[2][1]}
+
+
 def test_vector_file(spark):
     rng = np.random.default_rng(8)
     rows = [(int(i), [float(v) for v in rng.normal(0, 0.3, 16)], "x") for i in range(400)]
