@@ -212,11 +212,11 @@ def large_members(regions: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): each class of a large region with the region's most connected class, once for each region."""
+    """(a, b, fits): each class of a large region with the region's most connected class, once for each region; whether their sizes let them be alike."""
     known = members.groupBy("node").agg(F.sum("m").alias("fame"))
     pivots = members.select("region", "node", "n").join(known, "node").groupBy("region").agg(F.max_by(F.struct("node", "n"), F.struct("fame", "node")).alias("p"))
     fits = den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")
-    return members.join(pivots, "region").filter(fits & (F.col("node") != F.col("p.node"))).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+    return members.join(pivots, "region").filter(F.col("node") != F.col("p.node")).select(F.col("node").alias("a"), F.col("p.node").alias("b"), fits.alias("fits"))
 
 
 def prefix_pairs(sets: DataFrame, asked: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * TREES // 500_000))
     members = scratch.table(large_members(regions), "members")
     pivots = scratch.table(pivot_pairs(members, num, den), "pivots")
-    near = neighbour_pairs(regions, parts, scratch, num, den).unionByName(pivots)
+    near = neighbour_pairs(regions, parts, scratch, num, den).unionByName(pivots.filter("fits").select("a", "b"))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
     near = scratch.table(near, "pairs")
     scratch.drop("neighbours")
@@ -276,20 +276,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "times"))
     first = both.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     first = scratch.table(first.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b"), "first")
-    involved = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
+    involved = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).unionByName(members.select(F.col("node").alias("row"))).distinct()
     sets = scratch.table(shingle_sets(docs, k, scratch.table(involved, "involved")), "sets")
     links = scratch.table(confirmed(first, sets, num, den), "links1")
     found = scratch.table(components(links, scratch, "one"), "found1")
 
     # then all other candidates between different components, and in large regions
-    # all partners of the classes that are still apart from the region's pivot
+    # all partners of the classes that are still apart from the region's pivot, alike in size to it or not
     side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     apart = lambda pairs, side: pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = scratch.table(confirmed(apart(near.select("a", "b"), side).join(tried, ["a", "b"], "left_anti"), sets, num, den), "links2")
     joined = scratch.table(components(links.unionByName(more), scratch, "two"), "found2")
     side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731,F811
-    away = scratch.table(apart(pivots.distinct(), side).select(F.col("a").alias("node")).distinct(), "away")
+    away = scratch.table(apart(pivots.select("a", "b").distinct(), side).select(F.col("a").alias("node")).distinct(), "away")
     live = members.join(members.join(away, "node").select("region").distinct(), "region", "left_semi").select("node").distinct()
     partners = apart(prefix_pairs(sets.join(live, F.col("row") == F.col("node"), "left_semi"), away, num, den, scratch), side)
     partners = partners.join(near.select("a", "b"), ["a", "b"], "left_anti")

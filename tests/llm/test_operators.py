@@ -248,6 +248,24 @@ def test_a_large_group_of_edited_copies(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == collections.Counter(brute_components(rows, 4))
 
 
+def test_a_shortened_copy_of_a_shortened_copy(spark, monkeypatch):
+    # without the luck of neighbours, the exact join must find what is apart from a pivot of another size
+    monkeypatch.setattr(near_dedup, "neighbour_pairs", lambda *_: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(4)
+    core = [f"w{i}" for i in range(127)]
+    rows = [(0, " ".join(core))]
+    for i in range(1, 61):
+        w = list(core)
+        for at in rng.sample(range(127), 3):
+            w[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(w)))
+    for i in range(3):  # 115 of 127 words, and 100 of these: too few to be like the whole
+        less = rng.sample(core, 115)
+        rows += [(4000 + i, " ".join(less)), (5000 + i, " ".join(less[:100]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=1).collect()
+    assert [r.doc_id for r in got if r.component_id != 0] == []
+
+
 def base_spans(t):
     e, i, c, p = (re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
