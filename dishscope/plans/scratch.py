@@ -1,21 +1,35 @@
-"""Cuts in the lineage through the folder that all executors share."""
+"""The folder that all executors share, and cuts in the lineage through it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows through a reliable checkpoint in ``spark.checkpoint.dir`` (a temporary folder in local sessions without one)."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    A temporary folder stands in for it only where the setting is absent and the
+    session is a single local JVM; a cluster without the setting is refused,
+    since its executors would not see one another's files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
     context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return _OWN[context.applicationId]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows through a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
