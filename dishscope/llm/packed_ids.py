@@ -156,22 +156,101 @@ class PackedFile:
         self.file.close()
 
 
+class UnitTable:
+    """Ids of short units in open addressing over numpy arrays, looked up many at once.
+
+    A unit of at most 16 bytes is two 64-bit words, which are compared whole, so a
+    clash of hashes never gives wrong ids.
+    """
+
+    SLOTS = 1 << 21
+    MOST = 1 << 20
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.low, self.high = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.first, self.count = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.pool, self.used, self.units = np.zeros(1 << 20, self.kind), 0, 0
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(0xA0761D6478BD642F))) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 21)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slot of each unit, -1 where it is not known."""
+        slot = self._home(low, high)
+        wrong = np.nonzero((self.low[slot] != low) | (self.high[slot] != high))[0]
+        while len(wrong):  # no unit is 0, so an empty slot ends a search
+            at = slot[wrong]
+            free = self.low[at] == 0
+            slot[wrong[free]] = -1
+            wrong = wrong[~free]
+            at = (at[~free] + 1) & (self.SLOTS - 1)
+            slot[wrong] = at
+            wrong = wrong[(self.low[at] != low[wrong]) | (self.high[at] != high[wrong])]
+        return slot
+
+    def add(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct units that are not known, with their ids one after another."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), self.kind)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        first = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.units += len(low)
+        slot, left = self._home(low, high), np.arange(len(low))
+        while len(left):
+            at = slot[left]
+            free = self.low[at] == 0
+            self.first[at[free]] = left[free]  # of several for one slot, the last one written has it
+            won = np.zeros(len(left), bool)
+            won[free] = self.first[at[free]] == left[free]
+            own = left[won]
+            self.low[slot[own]], self.high[slot[own]] = low[own], high[own]
+            self.first[slot[own]], self.count[slot[own]] = first[own], counts[own]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+
+
+def _classes() -> np.ndarray:
+    """Of each byte: 0 white space, 1 letter, 2 digit, 3 other printable, 4 what sends its word to the library whole."""
+    out = np.full(256, 4, np.uint8)
+    out[0x21:0x7F] = 3
+    out[list(b" \t\n\r\x0b\x0c")] = 0
+    out[0x30:0x3A] = 2
+    out[0x61:0x7B] = 1
+    out[0x27] = 4  # an apostrophe may begin a piece of its own kind
+    return out
+
+
+_CLASS = _classes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_KEEP = (np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))) - np.uint64(1)
+_KEEP = np.append(_KEEP, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+
 class WordIds:
-    """Ids of texts by the tokenizers library, each distinct word encoded once while it is remembered.
+    """Ids of texts by the tokenizers library, each distinct unit encoded once while it is remembered.
 
     Valid for tokenizers that drop white space, never join characters across it
-    and mark word ends, as ``check`` makes sure.  Words of plain and Latin-1
-    letters are cut into the tokenizer's own pieces, which are given to the
-    library many at once; every other word is given to it whole.
+    and mark word ends, as ``check`` makes sure.  Texts are cut by byte classes
+    into the tokenizer's own pieces (runs of ASCII and Latin-1 letters, digits,
+    runs of other signs); a word with anything else is one unit.  Units of up to 16
+    bytes are looked up in one go; the library gets the others, and new ones,
+    many at once.
     """
 
-    REMEMBERED = 500_000
-    PIECES = 800_000
     TOGETHER = 400
+    LONG = 200_000
+    #: Bytes cut into units at once.
+    STRETCH = 1 << 20
 
     def __init__(self, source: str):
         import json
-        import re
 
         from tokenizers import Tokenizer
 
@@ -182,85 +261,152 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(mark) and token.endswith(mark)
-        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
-        self.simple = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-        # the split pattern of the tokenizer, over these letters
-        self.pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
-        self.kept: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.table = UnitTable(self.kind)
+        self.long: dict[bytes, np.ndarray] = {}
 
     def check(self) -> None:
         t = self.tokenizer
         split = self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         if split != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" or not self.ends.any():
             raise ValueError("this tokenizer splits words in another way")
-        for a, b in (("ab", "cd"), ("1", "2"), ("x.", "'s"), ("é", "\u0301")):
+        for a, b in (("ab", "cd"), ("1", "2"), ("x.", "'s"), ("é", "́")):
             for gap in " \t\n\r\x0b\x0c":
                 both = t.encode(a + gap + gap + b, add_special_tokens=False).ids
                 if both != t.encode(a, add_special_tokens=False).ids + t.encode(b, add_special_tokens=False).ids:
                     raise ValueError("this tokenizer does not treat words one by one")
 
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_pieces(self, new: list[str]) -> None:
-        for a in range(0, len(new), 40 * self.TOGETHER):
-            groups = [new[b : b + self.TOGETHER] for b in range(a, min(len(new), a + 40 * self.TOGETHER), self.TOGETHER)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.kind)
-                last = np.nonzero(self.ends[ids])[0] + 1
-                if len(last) == len(group):  # as many word ends as pieces
-                    size, data, at = self.kind.itemsize, ids.tobytes(), 0
-                    for piece, end in zip(group, (last * size).tolist(), strict=True):
-                        self.known[piece] = data[at:end]
-                        at = end
+    def _alone(self, units: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+
+    def _learn(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> None:
+        """Encode distinct units, given as words and lengths, and remember them."""
+        both = np.stack([low, high], axis=1).view(np.uint8)  # 16 bytes each, the rest 0
+        both[np.arange(len(size))[size < 16], size[size < 16]] = 32
+        keep = np.arange(16)[None, :] <= size[:, None]
+        long_ = size == 16
+        ids, counts = [], np.zeros(len(size), np.int32)
+        for a in range(0, len(size), 64 * self.TOGETHER):
+            cuts = list(range(a, min(a + 64 * self.TOGETHER, len(size)), self.TOGETHER))
+            groups = []
+            for b in cuts:
+                part = slice(b, b + self.TOGETHER)
+                if long_[part].any():
+                    groups.append(b" ".join(x[:n].tobytes() for x, n in zip(both[part], size[part], strict=True)))
                 else:
-                    self.known.update(zip(group, self._alone(group), strict=True))
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, kept, missing = self.known, self.kept, set()
-        if len(known) > self.PIECES:
-            known.clear()
-        plain, cut, whole = [], [], []
-        for w in new:
-            text = w.decode()
-            if self.plain(text):  # letters alone, or with one mark: by far the most
-                text = text.lower()
-                last = text[-1]
-                if last in ".,":
-                    text = text[:-1]
-                    plain.append((w, text, last))
+                    groups.append(both[part][keep[part]].tobytes())
+            for b, e in zip(cuts, self.tokenizer.encode_batch_fast([g.decode() for g in groups], add_special_tokens=False), strict=True):
+                own = np.array(e.ids, self.kind)
+                last = np.nonzero(self.ends[own])[0] + 1
+                part = slice(b, min(b + self.TOGETHER, len(size)))
+                # as many word ends as units, and no special token, which has none
+                if len(last) == part.stop - b and b"<|" not in groups[(b - a) // self.TOGETHER]:
+                    counts[part] = np.diff(last, prepend=0)
                 else:
-                    plain.append((w, text, None))
-                if text not in known:
-                    missing.add(text)
-            elif self.simple(text) and b"<|" not in w:
-                ps = self.pieces(text.lower())
-                cut.append((w, ps))
-                missing.update(p for p in ps if p not in known)
-            else:
-                whole.append((w, text))
-        missing.update(p for p in ".," if p not in known)
-        self._learn_pieces(list(missing))
-        for w, text, last in plain:
-            kept[w] = known[text] + known[last] if last else known[text]
-        for w, ps in cut:
-            kept[w] = b"".join([known[p] for p in ps])
-        for (w, _), ids in zip(whole, self._alone([t for _, t in whole]), strict=True):
-            kept[w] = ids
+                    each = self._alone([x[:n].tobytes() for x, n in zip(both[part], size[part], strict=True)])
+                    counts[part] = [len(x) for x in each]
+                    own = np.concatenate(each)
+                ids.append(own)
+        self.table.add(low, high, np.concatenate(ids), counts)
+
+    def _ids(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, number of ids) of each unit, and all ids; ``data`` ends with 16 spaces."""
+        raw = np.frombuffer(data, np.uint8)
+        text = _LOWER[raw]
+        kind = _CLASS[text]
+        # Latin-1 letters: C3 and a byte that stands for no sign
+        lead = np.nonzero(text[:-1] == 0xC3)[0]
+        after = text[lead + 1]
+        lead = lead[(after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        capital = lead[text[lead + 1] < 0x9F]
+        text[capital + 1] += 32
+        inside = kind != 0
+        edge = np.empty(len(kind), bool)
+        edge[0] = inside[0]
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        # words with anything else are one unit, in the case they are written in
+        odd = np.nonzero((kind == 4) | ((raw == 0x3C) & (np.roll(raw, -1) == 0x7C)))[0]
+        if len(odd):
+            step = np.diff(inside.view(np.int8), prepend=np.int8(0))
+            begin, end = np.nonzero(step == 1)[0], np.nonzero(step == -1)[0]
+            words = np.unique(np.searchsorted(begin, odd, side="right") - 1)
+            size = end[words] - begin[words]
+            own = np.repeat(begin[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            text[own] = raw[own]
+            edge[own] = False
+            edge[begin[words]] = True
+        at = np.nonzero(edge)[0]
+        starts = inside[at]
+        size = np.diff(at, append=len(kind))[starts]
+        at = at[starts]
+        if not len(at):
+            return at, np.zeros(0, np.int64), np.zeros(0, self.kind)
+        lanes = np.lib.stride_tricks.as_strided(text.view("<u8") if len(text) % 8 == 0 else np.append(text, np.zeros(-len(text) % 8, np.uint8)).view("<u8"), (len(text) - 8,), (1,))
+        low = lanes[at] & _KEEP[np.minimum(size, 8)]
+        high = np.zeros(len(at), np.uint64)
+        wide = np.nonzero(size > 8)[0]
+        high[wide] = lanes[at[wide] + 8] & _KEEP[np.minimum(size[wide] - 8, 8)]
+        short = size <= 16
+        if self.table.units > self.table.MOST:
+            self.table.clear()
+        slot = np.full(len(at), -1, np.int64)
+        slot[short] = self.table.find(low[short], high[short])
+        new = np.nonzero(short & (slot < 0))[0]
+        if len(new):
+            order = new[np.lexsort((high[new], low[new]))]
+            first = np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))
+            distinct = order[first]
+            self._learn(low[distinct], high[distinct], size[distinct])
+            slot[new] = self.table.find(low[new], high[new])
+        count, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count[short], start[short] = self.table.count[slot[short]], self.table.first[slot[short]]
+        far = np.nonzero(~short)[0].tolist()
+        pool = self.table.pool
+        if far:  # long units: whole words in their own case, or pieces
+            units = [text[at[i] : at[i] + size[i]].tobytes() for i in far]
+            if len(self.long) > self.LONG:
+                self.long.clear()
+            unknown = list(set(units).difference(self.long))
+            self.long.update(zip(unknown, self._alone(unknown), strict=True))
+            found = [self.long[u] for u in units]
+            count[far] = [len(x) for x in found]
+            start[far] = self.table.used + np.cumsum(count[far]) - count[far]
+            pool = np.concatenate([pool[: self.table.used], *found])
+        where = np.repeat(start - (np.cumsum(count) - count), count)
+        where += np.arange(len(where))
+        return at, count, pool[where]
+
+    def _stretch(self, texts: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(t) + 1 for t in texts])
+        pad = 16 + -(sizes.sum() + 16) % 8
+        at, count, ids = self._ids(b" ".join([*texts, b" " * (pad - 1) + b" "]))
+        upto = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))] * self.kind.itemsize
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out, kept = [], self.kept
-        for a in range(0, len(texts), 512):  # few texts at once, so that what is new fits in memory
-            words = [t.split() for t in texts[a : a + 512]]
-            if len(kept) > self.REMEMBERED:
-                kept.clear()
-            distinct: set[bytes] = set()
-            for ws in words:
-                distinct.update(ws)
-            self._learn(distinct.difference(kept))
-            out += [b"".join(map(kept.__getitem__, ws)) for ws in words]
-        return out
+        out: list[bytes] = []
+        held, size = [], 0
+        for t in texts:
+            if size + len(t) > self.STRETCH and held:
+                out += self._stretch(held)
+                held, size = [], 0
+            if len(t) > self.STRETCH:  # a long text goes by stretches that end at a white space
+                out.append(b"".join(self._stretch([part])[0] for part in self._parts(t)))
+            else:
+                held.append(t)
+                size += len(t)
+        return out + (self._stretch(held) if held else [])
+
+    def _parts(self, text: bytes) -> Iterator[bytes]:
+        import re
+
+        space, a = re.compile(rb"[ \t\n\r\x0b\x0c]"), 0
+        while a < len(text):
+            found = space.search(text, min(a + self.STRETCH, len(text)))
+            b = found.end() if found else len(text)
+            yield text[a:b]
+            a = b
 
 
 _ENCODERS: dict[int, WordIds] = {}
