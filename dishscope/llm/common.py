@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import shared_folder
+
 #: ASCII white space; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    A temporary folder stands in for it only where the setting is absent and the
-    session is a single local JVM; a cluster without the setting is refused,
-    since its executors would not see one another's files.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 class Scratch:
     """Tables of one operator call, written to the shared folder so that they outlive lost executors."""
 
@@ -72,42 +56,61 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def even_partitions(df: DataFrame, rows_each: int, least: int = 1) -> int:
-    """A partition count that follows the input, from its row count (read from Parquet footers)."""
-    return max(least, -(-df.count() // rows_each))
+#: Ranges told apart by quantiles; finer parts are cut within a range by its own ends.
+COARSE = 1024
 
 
-def range_partition(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """Add ``__part`` 0..parts-1, ascending in ``key`` (null keys in part 0).
+def range_partition(df: DataFrame, key: str, rows_each: int, tie: Column) -> tuple[DataFrame, int]:
+    """(the rows with ``__part``, number of parts): about ``rows_each`` rows a part, ascending in the long ``key``, nulls first.
 
-    The bounds come from quantiles of the key column alone, so the rows are not
-    computed twice as a sampling range exchange would do; their error changes
-    only how even the parts are, never the order.
+    Quantiles of the key column alone give at most ``COARSE`` ranges, and one grouped
+    count their ends; a range is cut into as many equal widths as its rows ask
+    for.  An id that holds many rows, and the rows without one, are ranges of their own,
+    cut by the hash ``tie``.  So neither the plan nor what comes to the driver grows
+    with the input, and errors of the quantiles change only how even the parts are.
     """
-    if parts <= 1:
-        return df.withColumn("__part", F.lit(0))
-    cuts = df.select(key).approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts)
-    cuts = sorted(set(int(c) for c in cuts))
-    if not cuts:
-        return df.withColumn("__part", F.lit(0))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    # the number of bounds at or below the key, by binary search over a literal array
-    return df.withColumn("__part", F.coalesce(_bisect(F.col(key).cast("long"), bounds, len(cuts)), F.lit(0)))
-
-
-def _bisect(key: Column, bounds: Column, n: int) -> Column:
-    steps = max(1, n.bit_length())
-    return F.when(key.isNull(), F.lit(0)).otherwise(
-        F.aggregate(
-            F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)),
-            F.lit(0),
-            lambda at, bit: F.when(
-                (at + F.expr("1") * F.pow(F.lit(2), bit).cast("int") <= n)
-                & (F.get(bounds, at + F.pow(F.lit(2), bit).cast("int") - 1) <= key),
-                at + F.pow(F.lit(2), bit).cast("int"),
-            ).otherwise(at),
-        )
-    )
+    n = df.count()
+    if n <= rows_each:
+        return df.withColumn("__part", F.lit(0)), 1
+    k = min(-(-n // rows_each), COARSE)
+    found = [int(c) for c in df.select(key).approxQuantile(key, [i / k for i in range(1, k)], 0.25 / k)]
+    often = {a for a, b in zip(found[:-1], found[1:], strict=True) if a == b}
+    cuts = sorted({*found, *(c + 1 for c in often if c < (1 << 63) - 1)})
+    value = F.col(key).cast("long")
+    ranges = F.when(value.isNull(), 0).otherwise(1 + _bisect(value, cuts))
+    ends = df.select(ranges.alias("r"), value.alias("v")).groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    known = {r["r"]: r for r in ends}  # at most two ranges a quantile
+    base, spec = 0, []
+    for i in range(len(cuts) + 2):
+        r = known.get(i)
+        pieces = max(1, -(-r["n"] // rows_each)) if r else 1
+        one_id = r is None or r["lo"] is None or r["lo"] == r["hi"]
+        spec.append((base, pieces, 0 if one_id else r["lo"], 0.0 if one_id else float(r["hi"]) - float(r["lo"]) + 1))
+        base += pieces if r else 0
+    at = lambda j, kind: F.get(F.lit([s[j] for s in spec]).cast(f"array<{kind}>"), F.col("__range"))
+    share = (value.cast("double") - at(2, "double")) / at(3, "double")
+    by_tie = F.shiftrightunsigned(tie, 11) / F.lit(float(1 << 53))
+    share = F.when(at(3, "double") > 0, share).otherwise(F.when(at(1, "int") > 1, by_tie).otherwise(0.0))
+    piece = F.greatest(F.lit(0), F.least(at(1, "int") - 1, F.floor(share * at(1, "int")).cast("int")))
+    return df.withColumn("__range", ranges.cast("int")).withColumn("__part", (at(0, "int") + piece).cast("int")).drop("__range"), max(base, 1)
+
+
+def _bisect(key: Column, bounds: list[int]) -> Column:
+    """The number of bounds at or below the key."""
+    n, steps = len(bounds), max(1, len(bounds).bit_length())
+    array = F.lit(bounds).cast("array<long>")
+    power = F.lit([1 << i for i in range(steps)]).cast("array<int>")
+
+    def half(at: Column, bit: Column) -> Column:
+        further = at + F.get(power, bit)
+        return F.when((further <= n) & (F.get(array, further - 1) <= key), further).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), F.lit(0), half)
+
+
+def tie_of(text: Column) -> Column:
+    """A hash that tells rows of one id apart: by text, and equal texts by where they stand in the scan."""
+    return F.xxhash64(text, F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
 
 
 def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Column], amount: str, out: str) -> DataFrame:

@@ -19,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import even_partitions, pick, range_partition
+from .common import Scratch, pick, range_partition, tie_of
 
 KEPT = 64
 #: Bytes parsed at once; longer texts go alone.
 TOGETHER = 1 << 18
+#: Parts whose first rows (two numbers each) are broadcast; beyond that Spark picks the join.
+MOST_BROADCAST = 1 << 21
 
 _U = np.uint64
 
@@ -169,20 +171,25 @@ def edited_pairs(docs: DataFrame, docs_per_part: int = 8192) -> DataFrame:
 
     Order: descending doc_id, nulls last, equal ids by text; the first follows the
     last.  Parts of this order are parsed by one task each, with a copy of the row
-    that follows the part, so texts are shuffled once.
+    that follows the part, so texts are shuffled once.  The rows of an id that fills
+    more than a part stand in parts by a hash of their texts, in each by text.
     """
     import hashlib
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    parts = even_partitions(rows, docs_per_part)
-    placed = range_partition(rows, "doc_id", parts)
-    # a row for each part: where its first row is needed once more
-    heads = [(r[0], r[1]) for r in placed.groupBy("__part").agg(F.max("doc_id")).orderBy("__part").collect()]
-    copies = [(heads[i][1], heads[(i + 1) % len(heads)][0]) for i in range(len(heads))]
-    spark = docs.sparkSession
-    copies_df = spark.createDataFrame(copies, "__head long, __for int")
-    # one small row a part is broadcast
-    placed = placed.join(F.broadcast(copies_df), F.col("doc_id").eqNullSafe(F.col("__head")), "left")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    placed, parts = range_partition(rows, "doc_id", docs_per_part, tie_of(F.col("text")))
+    # the first row of each part: the least text of its largest id
+    scratch = Scratch(docs.sparkSession, "fingerprints")
+    top = placed.groupBy("__part").agg(F.max("doc_id").alias("top"))
+    first = placed.join(top, "__part").filter(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("__part").agg(F.min_by("rid", "text").alias("rid"))
+    first = scratch.table(first, "first")  # a row a part
+    ends = first.agg(F.min("__part"), F.max("__part")).first()
+    # it is needed once more, at the end of the part above; the highest part's at the end of the lowest
+    above = F.coalesce(F.lead("__part").over(Window.orderBy("__part")), F.lit(ends[0])).cast("int")
+    copies = first.select("rid", above.alias("__for"))
+    copies = F.broadcast(copies) if parts <= MOST_BROADCAST else copies
+    placed = placed.join(copies, "rid", "left")
     one = lambda part, copy: F.struct(part.alias("part"), F.lit(copy).alias("copy"))
     own = one(F.col("__part"), 0)
     placed = placed.select("doc_id", "text", F.explode(F.when(F.col("__for").isNull(), F.array(own)).otherwise(F.array(own, one(F.col("__for"), 1)))).alias("p"))

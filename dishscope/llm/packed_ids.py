@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, even_partitions, pick, range_partition, running_before
+from .common import Scratch, pick, range_partition, running_before, tie_of
 
 BLOCK = 128
 #: Index of the difference, of 128 in order, that must fit in the width.
 FIT = 115
 HEAD = struct.Struct("<4sIQQQQ")
 STEP = 4096  # blocks handled at once, for bounded memory
+MOST_TASKS = 200_000
 
 
 def _bits(x: np.ndarray, w: int) -> np.ndarray:
@@ -467,9 +468,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, docs_p
             yield flush()
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    parts = even_partitions(rows, docs_per_file)
-    ordered = range_partition(rows, "doc_id", parts).select("__part", "doc_id", "text")
-    ordered = ordered.repartitionById(parts, F.col("__part")).sortWithinPartitions("__part", F.col("doc_id").asc_nulls_first(), "text")
+    ordered, parts = range_partition(rows, "doc_id", docs_per_file, tie_of(F.col("text")))
+    tasks = min(parts, MOST_TASKS)  # neighbouring parts share a task where there are very many
+    ordered = ordered.select("__part", "doc_id", "text").repartitionById(tasks, F.floor(F.col("__part").cast("long") * tasks / parts).cast("int"))
+    ordered = ordered.sortWithinPartitions("__part", F.col("doc_id").asc_nulls_first(), "text")
     return ordered.mapInArrow(run, "part int, seq int, path string, n_docs long, n_ids long, n_bytes long")
 
 
