@@ -309,21 +309,48 @@ def test_cards_written_digit_by_digit(spark):
     assert {r.doc_id: r.text for r in private_data.redacted(table).collect()} == {1: "pay [CARD] now", 2: "[CARD]", 3: rows[2][1]}
 
 
-def test_vector_file(spark):
-    rng = np.random.default_rng(8)
-    rows = [(int(i), [float(v) for v in rng.normal(0, 0.3, 16)], "x") for i in range(400)]
-    rows += [(1000, [0.1] * 16, "x"), (1001, [0.1] * 16, "x"), (1050, None, "x"), (1051, [None] + [0.1] * 15, "x"), (1052, [float("nan")] * 16, "x"), (1053, [float("inf")] * 16, "x"), (1100, [0.5] * 3, "x"), (1101, [0.2] * 3, "x"), (None, [0.1] * 16, "x"), (77, rows[77][1], "x")]
-    got = vector_file.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(3)).collect()
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+def brute_top(rows, k=5, every=50):
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = collections.Counter()
     for q, v in ok:
-        if q % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))[:5]
-            want.update((q, k + 1, i, -x) for k, (x, i) in enumerate(s))
-    assert collections.Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+        if q % every == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))[:k]
+            want.update((q, n + 1, i, max(-(2**63), min(2**63 - 1, -x))) for n, (x, i) in enumerate(s))
+    return want
+
+
+def test_vector_file(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(v) for v in rng.normal(0, 0.3, 16)]) for i in range(400)]
+    rows += [(1000, [0.1] * 16), (1001, [0.1] * 16), (1050, None), (1051, [None] + [0.1] * 15), (1052, [float("nan")] * 16), (1053, [float("inf")] * 16), (1100, [0.5] * 3), (1101, [0.2] * 3), (None, [0.1] * 16), (77, rows[77][1]), (1150, []), (1151, [])]
+    rows += [(100, rows[3][1]), (150, rows[150][1]), (150, rows[150][1])]  # query ids with other and with equal rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("cells", F.lit(1))
+    assert rows_of(vector_file.top_k(df.repartition(3))) == brute_top(rows)
     assert vector_file.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(vector_file, "QUERIES_AT_ONCE", 4)
+    monkeypatch.setattr(vector_file, "ROWS_EACH", 40)
+    rng = np.random.default_rng(3)
+    rows = [(2, [20000.0, 20000.0]), (50, [20000.0, 1.0]), (51, [-1e9, 3e8]), (100, [1e12, -1e7]), (101, [1e200, 1e-200]), (150, [-3e250, 7.0]), (200, [0.25, 0.5]), (250, [-1e300, 1e300])]
+    rows += [(int(i), [float(x) for x in rng.normal(0, 10.0 ** rng.integers(-2, 8), 2)]) for i in range(300, 700)]
+    got = vector_file.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert rows_of(got) == brute_top(rows)
+
+
+def test_few_records_are_read(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 0.3, (4000, 16))
+    edges = vector_file.Edges(np.floor(256 * v).min(axis=0), np.quantile(np.floor(256 * v), np.arange(1, 16) / 16, axis=0).T, np.floor(256 * v).max(axis=0))
+    x = np.floor(256 * v)
+    block = vector_file.Block([0], [0], [x[0].tolist()], edges)
+    low, high = block.bounds(edges.cells(x))
+    score = x @ x[0]
+    assert (low[0] <= score).all() and (score <= high[0]).all()
+    assert (high[0] >= np.sort(low[0])[-5]).mean() < 0.15  # what the scan leaves to be read
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mixed_sizes(docs, block_words=64, shard_words=1000)
     rows = got.collect()
