@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -12,13 +14,13 @@ from pyspark.sql import functions as F
 
 from ..operators import background, classify, dish, kernels, measure, segment
 from ..operators.layout import Layout, plate_layout
-from ..operators.relational import attach_metadata
-from ..sources.images import prepared, read_images, to_array
+from ..operators.relational import attach_metadata, base_name, first_rows
+from ..sources.images import picture_files, prepared, read_images, to_array
 from .scratch import cut
 
 #: Everything one plate's task returns, told apart by ``kind``.
 ROWS = (
-    "plate_id string, kind string, colony_id string, x int, y int, L double, a double, b double, r double, g double, bl double, depth double, d_bact double, d_any double, sat_id int, "
+    "plate_id string, kind string, colony_id string, x int, y int, sides int, L double, a double, b double, r double, g double, bl double, depth double, d_bact double, d_any double, sat_id int, "
     "detected boolean, expected_x double, expected_y double, core_depth_mm double, error string, "
     "dish_x double, dish_y double, dish_r double, mm_per_px double, dish_fit_rmse_px double, dish_arc_coverage double, agar_L double, agar_a double, agar_b double, agar_sd_L double, illumination_range_pct double, "
     "overexposed_fraction double, classifier string, target string, target_x double, target_y double, has_bacteria boolean, notes string, qc binary"
@@ -108,6 +110,10 @@ def _rows(plate_id: str, got: dict, s: Settings):
     far_a = kernels.edt(~any_) if has else None
     sat_ids = kernels.components(seg["satellites"])
 
+    def facing(own: np.ndarray) -> np.ndarray:
+        """Sides of each pixel that face another label."""
+        return sum((own & ~n).astype(np.int8) for n in kernels.neighbours(own))
+
     def pixels(mask: np.ndarray, kind: str, **more) -> pd.DataFrame:
         y, x = np.nonzero(mask)
         lab, rgb = bg["lab"][y, x], bg["rgb"][y, x]
@@ -116,7 +122,7 @@ def _rows(plate_id: str, got: dict, s: Settings):
     for row in seg["table"]:
         own = seg["labels"] == row["label"]
         if row["detected"]:
-            yield pixels(own, "fungus", colony_id=row["colony_id"], depth=kernels.edt_local(own), **({"d_bact": far_b, "d_any": far_a} if has else {}))
+            yield pixels(own, "fungus", colony_id=row["colony_id"], depth=kernels.edt_local(own), sides=facing(own), **({"d_bact": far_b, "d_any": far_a} if has else {}))
     for kind in ("bacteria", "halo", "other"):
         yield pixels(seg[kind], kind)
     yield pixels(seg["satellites"], "satellite", sat_id=sat_ids)
@@ -131,10 +137,9 @@ def analyze(images: DataFrame, layouts: dict[str, Layout] | Layout | None = None
 
     names = [c.split()[0] for c in ROWS.split(", ")]
 
-    def one(pdf):
-        plate_id = pdf["plate_id"].iloc[0]
+    def one(row) -> pd.DataFrame:
+        plate_id = row["plate_id"]
         try:
-            row = pdf.iloc[0]
             if row["data"] is None:
                 raise ValueError("the picture cannot be decoded")
             picture = to_array(int(row["height"]), int(row["width"]), int(row["channels"]), row["data"], int(row["turn"]))
@@ -144,13 +149,22 @@ def analyze(images: DataFrame, layouts: dict[str, Layout] | Layout | None = None
         out = pd.concat([p for p in parts if len(p)], ignore_index=True).reindex(columns=names)
         for c in ("colony_id", "error", "classifier", "target", "notes", "qc"):
             out[c] = out[c].astype(object).where(out[c].notna(), None)
-        for c in ("x", "y", "sat_id"):
+        for c in ("x", "y", "sides", "sat_id"):
             out[c] = out[c].astype("Int32")
         for c in ("detected", "has_bacteria"):
             out[c] = out[c].astype("boolean")
         return out
 
-    rows = cut(images.groupBy("plate_id").applyInPandas(one, ROWS))
+    def run(batches):
+        for pdf in batches:  # a few pictures: a batch is bounded by its bytes
+            for row in pdf.to_dict("records"):
+                yield one(row)
+
+    # pictures are analysed in the tasks that hold them, without a shuffle
+    rows = cut(images.select("plate_id", "height", "width", "channels", "data", "turn").mapInPandas(run, ROWS))
+    again = rows.filter("kind = 'plate'").groupBy("plate_id").count().filter("count > 1").limit(5).collect()
+    if again:
+        raise ValueError(f"several pictures of one plate_id: {', '.join(str(r['plate_id']) for r in again)}")
     return measured(rows, s)
 
 
@@ -158,7 +172,7 @@ def measured(rows: DataFrame, s: Settings) -> Result:
     """The result tables from the tasks' rows."""
     plates = rows.filter("kind = 'plate'")
     colonies = rows.filter("kind = 'colony'").select("plate_id", "colony_id", "detected", "expected_x", "expected_y")
-    fungus = rows.filter("kind = 'fungus'").select("plate_id", "colony_id", "x", "y", "L", "a", "b", "r", "g", "bl", "depth", "d_bact", "d_any")
+    fungus = rows.filter("kind = 'fungus'").select("plate_id", "colony_id", "x", "y", "sides", "L", "a", "b", "r", "g", "bl", "depth", "d_bact", "d_any")
     tissue = rows.filter("kind in ('bacteria', 'halo', 'other', 'satellite')").select("plate_id", "kind", "x", "y", "L", "a", "b", "sat_id")
     table = measure.measure_colonies(fungus, plates, colonies, s.edge_exclude_mm, s.dark_l, s.n_boot, s.block_mm, s.seed)
     profiles = measure.colony_profiles(fungus, plates, s.ring_width_mm, s.profile_mode, s.n_rings, s.n_boot, s.block_mm, s.seed)
@@ -193,26 +207,58 @@ def analyze_plates(spark: SparkSession, paths: str | list[str], metadata: DataFr
     ``layout`` may be a function of a plate's metadata row; metadata is matched by
     file name, or by plate_id where no file name is given, first row first.
     """
-    images = read_images(spark, paths)
+    images, names = read_images(spark, paths), picture_files(spark, paths)
     layouts: dict[str, Layout] | Layout | None = layout if isinstance(layout, Layout) else None
-    sheet = None
-    if metadata is not None:
-        from ..operators.relational import first_rows, stem
-
-        ids = [stem(F.col("file"))] * ("file" in metadata.columns) + [F.col("plate_id")] * ("plate_id" in metadata.columns)
-        sheet = metadata.withColumn("_order", F.monotonically_increasing_id()).withColumn("plate_id", F.coalesce(*ids))
-        sheet = first_rows(sheet.filter("plate_id is not null"), "plate_id", "_order")
+    sheet = sheet_of_plates(names, metadata) if metadata is not None else None
     if callable(layout):
         known = {r["plate_id"]: r.asDict() for r in sheet.collect()} if sheet is not None else {}  # a row a plate
-        layouts = {r["plate_id"]: layout(known.get(r["plate_id"])) for r in images.select("plate_id").collect()}
+        layouts = {r["plate_id"]: layout(known.get(r["plate_id"])) for r in names.select("plate_id").collect()}
     result = analyze(images, layouts, settings)
     if sheet is not None:
         for name in ("colonies", "profiles", "plates"):
             setattr(result, name, attach_metadata(getattr(result, name), sheet, "plate_id", "_order"))
+    if not isinstance(paths, str):  # in the order of the files given
+        places = F.broadcast(names.select("plate_id", F.col("place").alias("_place")))  # a row a file of the caller's list
+        for name, keys in (("colonies", ["colony_id"]), ("profiles", ["colony_id", "ring"]), ("plates", []), ("failed", [])):
+            table = getattr(result, name)
+            setattr(result, name, table.join(places, "plate_id", "left").orderBy("_place", "plate_id", *keys).select(*table.columns))
     return result
 
 
+def sheet_of_plates(names: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The metadata row of each plate: by file name, or by plate_id where the row names no file; the first of several."""
+    file = base_name(F.col("file")) if "file" in metadata.columns else F.lit(None).cast("string")
+    plate = F.col("plate_id").cast("string") if "plate_id" in metadata.columns else F.lit(None).cast("string")
+    rows = metadata.select(F.when(file.isNotNull(), F.struct(file.alias("k"), F.lit(0).alias("by"))).otherwise(F.struct(plate.alias("k"), F.lit(1).alias("by"))).alias("_key"), "*")
+    rows = rows.withColumn("_order", F.monotonically_increasing_id()).drop("plate_id")
+    keys = F.array(F.struct(F.col("file").alias("k"), F.lit(0).alias("by")), F.struct(F.col("stem").alias("k"), F.lit(1).alias("by")))
+    asked = names.select("plate_id", F.explode(keys).alias("_key"))
+    found = asked.join(rows, "_key").withColumn("_first", F.struct("_key.by", "_order")).drop("_key")
+    return first_rows(found, "plate_id", "_first").drop("_first")
+
+
 def write_result(result: Result, folder: str, mode: str = "errorifexists") -> None:
-    """The four tables as CSV folders, missing values blank."""
+    """The four tables as CSV folders, missing values blank; pictures for quality control as ``qc/<plate>_qc.png``."""
     for name in ("colonies", "profiles", "plates", "failed"):
         getattr(result, name).write.mode(mode).option("header", True).option("nullValue", "").csv(f"{folder}/{name}")
+    if result.qc is not None:
+        write_pictures(result.qc, f"{folder}/qc").count()
+
+
+def write_pictures(qc: DataFrame, folder: str) -> DataFrame:
+    """Write each plate's picture as a file; returns the plan of (plate_id, path), which writes as it runs."""
+    folder = folder if "://" in folder else "file://" + os.path.abspath(folder)
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for pdf in batches:
+            paths = [f"{root}/{re.sub('[^A-Za-z0-9._ -]', '_', p)}_qc.png" for p in pdf["plate_id"]]
+            for path, data in zip(paths, pdf["qc"], strict=True):
+                with store.open_output_stream(path) as out:
+                    out.write(bytes(data))
+            yield pdf[["plate_id"]].assign(path=paths)
+
+    return qc.mapInPandas(run, "plate_id string, path string")

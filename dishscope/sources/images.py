@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.colour import CLIPPED
@@ -55,16 +56,59 @@ def upright(picture: np.ndarray, turn: int) -> np.ndarray:
     return np.ascontiguousarray(picture)
 
 
+#: Files up to which their names are broadcast to the pictures; beyond that Spark picks the join.
+FEW_FILES = 1_000_000
+
+
+def picture_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, file, stem, plate_id, place of the image files, without their contents.
+
+    The plate's id is the file's stem; files that share a stem have their file name,
+    those that share this too their whole path.  ``place`` is the position in a given
+    list of files, 0 for all of a folder.
+    """
+    given = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.format("binaryFile").load(given).select("path").filter(base_name(F.col("path")).rlike(IMAGE_NAME))
+    files = files.select("path", base_name(F.col("path")).alias("file"), stem(F.col("path")).alias("stem"))
+    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
+    plate_id = F.when(alone("stem"), F.col("stem")).when(alone("file"), F.col("file")).otherwise(F.col("path"))
+    files = files.withColumn("plate_id", plate_id)
+    if isinstance(paths, str):
+        return files.withColumn("place", F.lit(0))
+    places = spark.createDataFrame([(_plain(p), k) for k, p in enumerate(given)], "_path string, place int").groupBy("_path").agg(F.min("place").alias("place"))
+    # a row for each name the caller gave
+    return files.join(F.broadcast(places), _plain(F.col("path")) == F.col("_path"), "left").drop("_path").fillna({"place": len(given)})
+
+
+def _plain(path):
+    """A path without the scheme of local files."""
+    if isinstance(path, str):
+        return re.sub("^file:/+", "/", path)
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, plate_id, height, width, channels, data (BGR bytes), turn; undecodable files have null data."""
-    paths = [paths] if isinstance(paths, str) else paths
-    raw = spark.read.format("binaryFile").load(paths).filter(base_name(F.col("path")).rlike(IMAGE_NAME))
+    """path, plate_id, height, width, channels, data (BGR bytes), turn; undecodable files have null data.
+
+    Pictures stay in the tasks that decode them: only names and orientations, a row
+    a file, are joined to them.
+    """
+    files = picture_files(spark, paths)
+    jpeg = spark.read.format("binaryFile").load(paths).filter(base_name(F.col("path")).rlike(r"(?i)\.jpe?g$"))
     # the marker segment with the orientation is at the start of a file
-    head = raw.select("path", F.substring(F.col("content"), 1, 65536 * 2).alias("head"))
-    seen = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
-    joined = head.join(seen, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("origin", "^file:/+", "/"), "left")
-    turn = F.pandas_udf(_orientations, "int", F.PandasUDFType.SCALAR)(F.col("head"))
-    return joined.select("path", stem(F.col("path")).alias("plate_id"), "height", "width", F.col("nChannels").alias("channels"), "data", turn.alias("turn"))
+    turn = F.pandas_udf(_orientations, "int", F.PandasUDFType.SCALAR)(F.substring(F.col("content"), 1, 65536 * 2))
+    names = files.join(jpeg.select("path", turn.alias("turn")), "path", "left").select("path", "plate_id", F.coalesce("turn", F.lit(1)).alias("turn"))
+    names = F.broadcast(names) if files.count() <= FEW_FILES else names
+    seen = spark.read.format("image").option("dropInvalid", False).load(paths).select("image.*")
+    joined = seen.join(names, _plain(F.col("origin")) == _plain(F.col("path")))
+    return joined.select("path", "plate_id", "height", "width", F.col("nChannels").alias("channels"), F.when(F.col("height") > 0, F.col("data")).alias("data"), "turn")
+
+
+def describe(picture: np.ndarray, plate_id: str, dish: dict | None = None) -> str:
+    """A picture in one line: its name, size, and what is known of its dish."""
+    h, w = picture.shape[:2]
+    found = f"dish radius {dish['r_outer']:.1f} px at ({dish['x']:.1f}, {dish['y']:.1f}), {dish['mm_per_px']:.4f} mm/px" if dish else "dish not found yet"
+    return f"plate {plate_id}: {w} x {h} px, {found}"
 
 
 def is_images(df: object) -> bool:

@@ -49,14 +49,47 @@ def class_panel(seg: dict, shadow: np.ndarray) -> np.ndarray:
     return out
 
 
-def qc_panels(rgb: np.ndarray, seg: dict, shadow: np.ndarray) -> np.ndarray:
-    """The photograph with outlines beside the class panel."""
+#: What the colours of the class panel stand for, in the order of PAINT.
+LEGEND = ("agar", "fungus", "bacteria", "halo", "other", "shadow")
+#: Outlines on the photograph.
+OUTLINES = {"halo": PAINT[3], "bacteria": PAINT[2], "satellites": (255, 0, 255), "colonies": (255, 40, 40)}
+
+
+def outlined(rgb: np.ndarray, seg: dict) -> np.ndarray:
+    """The photograph with the outlines of its objects."""
     photo = np.rint(np.clip(rgb, 0, 1) * 255).astype(np.uint8)
-    for mask, colour in ((seg["halo"], PAINT[3]), (seg["bacteria"], PAINT[2]), (seg["satellites"], (255, 0, 255)), (seg["labels"] > 0, (255, 40, 40))):
-        photo[K.mask_boundary(mask)] = colour
+    for name in ("halo", "bacteria", "satellites"):
+        photo[K.mask_boundary(seg[name])] = OUTLINES[name]
     for k in range(1, int(seg["labels"].max()) + 1):
-        photo[K.mask_boundary(seg["labels"] == k)] = (255, 40, 40)
-    return np.concatenate([photo, class_panel(seg, shadow)], axis=1)
+        photo[K.mask_boundary(seg["labels"] == k)] = OUTLINES["colonies"]
+    return photo
+
+
+def legend_strip(width: int, colours: list[tuple[int, int, int]], height: int = 12) -> np.ndarray:
+    """Swatches of equal width in the order of the legend."""
+    at = np.minimum(np.arange(width) * len(colours) // max(width, 1), len(colours) - 1)
+    return np.repeat(np.array(colours, np.uint8)[at][None], height, axis=0)
+
+
+def qc_panels(rgb: np.ndarray, seg: dict, shadow: np.ndarray, panels: tuple[str, ...] = ("photo", "classes"), legend: bool = True) -> np.ndarray:
+    """The chosen panels side by side, each above the swatches of its legend (``OUTLINES``, ``LEGEND``)."""
+    known = {"photo": lambda: outlined(rgb, seg), "plain": lambda: show_rgb(rgb), "classes": lambda: class_panel(seg, shadow)}
+    if bad := [p for p in panels if p not in known] or not panels:
+        raise ValueError(f"unknown panels: {bad}")
+    colours = {"photo": list(OUTLINES.values()), "plain": [(255, 255, 255)], "classes": list(PAINT)}
+    drawn = []
+    for name in panels:
+        panel = known[name]()
+        drawn.append(np.concatenate([panel, legend_strip(panel.shape[1], colours[name])]) if legend else panel)
+    return np.concatenate(drawn, axis=1)
+
+
+def show_rgb(rgb: np.ndarray, max_dim: int | None = None) -> np.ndarray:
+    """A picture in 0..1 as bytes for ``png``, made smaller by area means where it is larger than ``max_dim``."""
+    x = np.repeat(rgb[..., None], 3, axis=2) if rgb.ndim == 2 else rgb[..., :3]
+    if max_dim and max(x.shape[:2]) > max_dim:
+        x = K.resize_area(x, max_dim / max(x.shape[:2]))
+    return np.rint(np.clip(x, 0, 1) * 255).astype(np.uint8)
 
 
 def melanization_map(lab: np.ndarray, labels: np.ndarray, mm_per_px: float, mi_range=None, smooth_mm: float = 0.25, relief_smooth_mm: float = 1.5, taper_mm: float = 2.5, grid: int = 180) -> dict:
@@ -75,6 +108,36 @@ def melanization_map(lab: np.ndarray, labels: np.ndarray, mm_per_px: float, mi_r
     return {"MI": mi, "mi_range": mi_range, "ramp": melanin_ramp(), "index": index, "height": height[::step, ::step]}
 
 
+def flat_map(m: dict, ground: tuple[int, int, int] = (245, 245, 245)) -> np.ndarray:
+    """A darkness map from above, with its ramp along the right side (dark on top)."""
+    ramp = np.rint(m["ramp"] * 255).astype(np.uint8)
+    out = np.where((m["index"] >= 0)[..., None], ramp[np.maximum(m["index"], 0)], np.array(ground, np.uint8))
+    h = out.shape[0]
+    bar = np.repeat(ramp[99 - np.arange(h) * 100 // h][:, None], max(4, out.shape[1] // 25), axis=1)
+    return np.concatenate([out, np.full((h, 4, 3), 255, np.uint8), bar], axis=1)
+
+
+def relief_map(m: dict, tilt: float = 0.5, lift: float = 60.0, scale: int = 3, ground: tuple[int, int, int] = (245, 245, 245)) -> np.ndarray:
+    """The darkness landscape seen obliquely: rows from the back to the front, each hiding what is behind it."""
+    height = m["height"]
+    step = int(np.ceil(m["index"].shape[0] / height.shape[0]))
+    index = m["index"][::step, ::step][: height.shape[0], : height.shape[1]]
+    colour = np.where((index >= 0)[..., None], m["ramp"][np.clip(index, 0, 99)] * 255, np.array(ground, float))
+    # light from the left
+    slope = np.gradient(height * lift, axis=1)
+    colour = np.clip(colour * (1 + 0.15 * np.tanh(slope))[..., None], 0, 255).astype(np.uint8)
+    h, w = height.shape
+    top = int(lift) + 1
+    out = np.full((top + int(h * tilt) + 1, w, 3), 255, np.uint8)
+    rows = np.arange(out.shape[0])[:, None]
+    for y in range(h):
+        base = top + int(y * tilt)
+        crest = base - np.rint(height[y] * lift).astype(int)
+        wall = (rows >= crest[None, :]) & (rows <= base)
+        out = np.where(wall[..., None], colour[y][None], out)
+    return np.repeat(np.repeat(out, scale, axis=0), scale, axis=1)
+
+
 def profile_points(profiles: DataFrame, colour_by: str = "colony_id", facet_by: str | None = None) -> DataFrame:
     """Tidy rows for ribbons: series, facet, x (mid_mm), y (MI_mean), lo, hi."""
     facet = F.col(facet_by).cast("string") if facet_by else F.lit("all")

@@ -7,7 +7,7 @@ from dishscope.operators import kernels as K
 
 def flood(mask, connectivity):
     out, n = np.zeros(mask.shape, int), 0
-    around = K._AROUND[: 4 if connectivity == 4 else 8]
+    around = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))[: 4 if connectivity == 4 else 8]
     for x in range(mask.shape[1]):
         for y in range(mask.shape[0]):
             if mask[y, x] and not out[y, x]:

@@ -111,3 +111,92 @@ def test_examples_and_folders(spark, tmp_path):
     assert seen == [2]
     marks = classify.annotated([("fungus", 3, 4)], 0.1)
     assert marks == [("fungus", 3.0, 4.0, 5.0)]
+
+
+def test_two_files_of_one_stem(spark, tmp_path):
+    from dishscope.operators.relational import METADATA  # noqa: F401  the sheet below has its columns
+
+    folder = tmp_path / "clash"
+    (folder / "more").mkdir(parents=True)
+    x = render.png(simulate(width=150, height=200)["image"])
+    for name in ("a.png", "a.PNG", "b.png", "more/b.png"):
+        (folder / name).write_bytes(x)
+    (folder / "bad.png").write_bytes(b"not a picture")
+    rows = {r["plate_id"]: r["data"] for r in images.read_images(spark, str(folder)).collect()}
+    assert set(rows) == {"a.png", "a.PNG", "b", "bad"} and rows["bad"] is None and rows["a.PNG"] is not None
+    paths = [str(folder / n) for n in ("more/b.png", "bad.png", "b.png", "a.PNG", "a.png")]
+    sheet = spark.createDataFrame([("a.png", None, "control"), ("a.PNG", None, "bacteria"), ("a.PNG", None, "second"), (None, "bad", "none")], "file string, plate_id string, treatment string")
+    names = images.picture_files(spark, paths)
+    assert len({r["plate_id"] for r in names.collect()}) == 5
+    assert {r["plate_id"]: r["treatment"] for r in batch.sheet_of_plates(names, sheet).collect()} == {"a.png": "control", "a.PNG": "bacteria", "bad": "none"}
+    r = batch.analyze_plates(spark, paths, sheet, settings=batch.Settings(n_boot=0, qc=True))
+    assert [p["plate_id"].rsplit("/", 2)[-2:] for p in r.plates.collect()] == [["more", "b.png"], ["clash", "b.png"], ["a.PNG"], ["a.png"]]
+    assert [f["plate_id"] for f in r.failed.collect()] == ["bad"]
+    batch.write_result(r, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out" / "qc").glob("*_qc.png"))) == 4
+    with pytest.raises(ValueError, match="several pictures"):
+        batch.analyze(images.read_images(spark, str(folder)).withColumn("plate_id", F.lit("same")), settings=batch.Settings(n_boot=0))
+
+
+def test_objects_of_a_plate():
+    from dishscope.operators import segment
+
+    s = simulate(**SIZE)
+    got = batch.analyze_array(s["image"], plate_layout(), batch.Settings(edge_criterion=0))
+    kept = batch.analyze_array(s["image"], plate_layout(), batch.Settings())
+    off, on = (np.bincount(g["objects"]["labels"].ravel(), minlength=5)[1:] for g in (got, kept))
+    assert (off >= on).all() and (off > on).any()
+    # without the step, labels are the flooded fungus itself
+    fungus = got["objects"]["map"] == segment.FUNGUS
+    assert ((got["objects"]["labels"] > 0) & ~fungus).mean() < 0.002
+    layout = plate_layout(centre="fungus")
+    middle = np.array(s["image"])
+    y, x = np.mgrid[: middle.shape[0], : middle.shape[1]]
+    t, px = s["truth"], s["truth"]["mm_per_px"]
+    d = t["dish"]
+    plain = simulate(layout=plate_layout(centre="none"), **SIZE)["image"]
+    middle = np.where((np.hypot(x + 1 - d["x"], y + 1 - d["y"]) <= 6 / px)[..., None], np.array([0.35, 0.28, 0.2]), plain)
+    rows = {r["colony_id"]: r for r in batch.analyze_array(middle, layout, batch.Settings())["objects"]["table"]}
+    assert set(rows) == {"TL", "TR", "BR", "BL", "centre"} and rows["centre"]["detected"]
+
+
+def test_margins_of_the_bacterium_have_no_holes():
+    from dishscope.operators import segment
+
+    bact, loose = np.zeros((60, 60), bool), np.zeros((60, 60), bool)
+    bact[20:40, 20:40] = True
+    loose[20:40, 41:50] = True
+    loose[25:35, 43:47] = False
+    loose[2:5, 2:5] = True
+    rim = np.zeros((60, 60), bool)
+    rim[50:] = True
+    loose[48:55, 5:9] = True
+    margin, satellites = segment.sort_fragments(loose, bact, rim)
+    assert margin[20:40, 41:43].all() and not margin[:10].any() and satellites.sum() == 9
+
+
+def test_cores_on_shoulders():
+    from dishscope.operators import kernels as K
+
+    depth = np.zeros((9, 60))
+    depth[4] = np.concatenate([np.linspace(1, 20, 30), np.linspace(20, 12, 30)])  # no second peak, but deep far from the first
+    mask = depth > 0
+    got = K.find_cores(depth, mask, 2.0)
+    assert got[0][:2] == (30.0, 5.0) and len(got) == 1 or got[1][2] < got[0][2]
+    wide = np.zeros((5, 200))
+    wide[2] = np.linspace(10, 5, 200)
+    assert len(K.find_cores(wide, wide > 0, 2.0)) > 5
+
+
+def test_pictures_of_results():
+    s = simulate(width=150, height=200)
+    got = batch.analyze_array(s["image"], plate_layout(), batch.Settings())
+    args = got["background"]["rgb"], got["objects"], got["background"]["shadow"]
+    assert render.qc_panels(*args).shape == (212, 300, 3) and render.qc_panels(*args, panels=("classes",), legend=False).shape == (200, 150, 3)
+    with pytest.raises(ValueError):
+        render.qc_panels(*args, panels=("nothing",))
+    assert render.show_rgb(s["image"], 100).shape == (100, 75, 3)
+    m = render.melanization_map(got["background"]["lab"], got["objects"]["labels"], got["dish"]["mm_per_px"])
+    flat, relief = render.flat_map(m), render.relief_map(m)
+    assert flat.shape[0] == 200 and relief.ndim == 3 and len(np.unique(relief.reshape(-1, 3), axis=0)) > 20
+    assert "150 x 200" in images.describe(s["image"], "p", got["dish"])
