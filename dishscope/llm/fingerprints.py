@@ -182,6 +182,7 @@ def edited_pairs(docs: DataFrame, docs_per_part: int = 8192) -> DataFrame:
     # the first row of each part: the least text of its largest id
     scratch = Scratch(docs.sparkSession, "fingerprints")
     top = placed.groupBy("__part").agg(F.max("doc_id").alias("top"))
+    top = F.broadcast(top) if parts <= MOST_BROADCAST else top
     first = placed.join(top, "__part").filter(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("__part").agg(F.min_by("rid", "text").alias("rid"))
     first = scratch.table(first, "first")  # a row a part
     ends = first.agg(F.min("__part"), F.max("__part")).first()
