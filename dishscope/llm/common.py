@@ -19,12 +19,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: a cut in the lineage."""
+        self.names.append(name)
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -36,6 +38,10 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def clear(self, keep: list[str]) -> None:
+        """Delete all tables but those that a returned result reads."""
+        self.drop(*[n for n in dict.fromkeys(self.names) if n not in keep])
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -46,6 +52,31 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each made longer until no column has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows with numbers by their place in the scan: the same in every scan of the same files or cached rows."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+#: Rows of two or three numbers that may be broadcast; beyond that Spark picks the join.
+FEW_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A table for joining, broadcast where its counted rows allow."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids count as remainder -1."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

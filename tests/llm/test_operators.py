@@ -251,6 +251,7 @@ def test_a_large_group_of_edited_copies(spark):
 def test_a_shortened_copy_of_a_shortened_copy(spark, monkeypatch):
     # without the luck of neighbours, the exact join must find what is apart from a pivot of another size
     monkeypatch.setattr(near_dedup, "neighbour_pairs", lambda *_: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(near_dedup, "SPLIT", 7)
     rng = random.Random(4)
     core = [f"w{i}" for i in range(127)]
     rows = [(0, " ".join(core))]
