@@ -1,17 +1,19 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are its distinct character 3- to 6-grams (A-Z lower-cased,
-white space as one blank), hashed to 2^20 places.  From labelled rows, a place's
-ratio is log((p + 1) / |p + 1|) - log((n + 1) / |n + 1|), p and n being the toxic and other texts
-that have it; a logistic regression with an L2 penalty is trained on the ratios
-of the places a text has.  Half the weight of a feature is thus prior knowledge
-of its class, which few labels suffice for.
+A text's features are its distinct n-grams of 3 to 6 characters (code points; A-Z
+lower-cased, white space as one blank), hashed to 2^20 places.  From labelled rows, a
+place's ratio is log((p + 1) / (P + 2)) - log((n + 1) / (N + 2)), p of P toxic and n of
+N other texts having it; a logistic regression with an L2 penalty is trained on the
+ratios of the places a text has.  Half the weight of a feature is thus prior knowledge
+of its class, which few labels suffice for.  A place takes part where its ratio is
+``CERTAIN`` standard errors from 0 or more, whatever the number of labels.
 
 Both are fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of the id,
 of those whose crc32(doc_id) mod 5 is not 0.  Rows of ``labels`` that are null or
 doubled (the larger label counts) do no harm; without rows of both classes the
 score is the share of toxic ones (0.5 without any).  A null text counts as empty
-and gets the score of the intercept.  Every row gets its own result.
+and gets the score of the intercept.  Every row gets its own result, equal texts
+equal scores.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, remainder
+from .common import Scratch, free_names, pick, remainder
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE = 6000
-#: Places with a smaller ratio, or in fewer than three texts, say too little to be trained on.
-LEAST_RATIO = 0.5
-STEPS, RATE, PENALTY = 60, 0.03, 2e-5
+#: Standard errors that a place's ratio must be away from 0 to be trained on.
+CERTAIN = 3.0
+STEPS, RATE, PENALTY = 60, 0.03, 2e-4
 
 _MULTIPLY = np.uint32(0x9E3779B1)
 
@@ -43,7 +45,8 @@ class Grams:
         self.mark = np.zeros(1 << BITS, np.uint32)
 
     def __call__(self, text: bytes) -> np.ndarray:
-        data = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", np.uint8).astype(np.uint32)
+        plain = (b" " + b" ".join(text.lower().split()) + b" ").decode("utf-8", "replace")
+        data = np.frombuffer(plain.encode("utf-32-le"), np.uint32)
         out, h = [], data
         for n in range(2, SIZES[-1] + 1):
             if len(data) < n:
@@ -68,10 +71,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def ratios(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+def ratios(p: np.ndarray, n: np.ndarray, toxic: int, others: int, certain: float = CERTAIN) -> np.ndarray:
     """Scaled log-count ratios from the numbers of toxic and other texts with each place; 0 where too little is known."""
-    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((n + 1) / (n + 1).sum())
-    keep = (p + n >= 3) & (np.abs(ratio) >= LEAST_RATIO)
+    ratio = np.log((p + 1) / (toxic + 2)) - np.log((n + 1) / (others + 2))
+    keep = np.abs(ratio) >= certain * np.sqrt(1 / (p + 1) + 1 / (n + 1))
     ratio[~keep] = 0
     return ratio * np.sqrt(1 / np.mean(ratio[keep] ** 2)) if keep.any() else ratio
 
@@ -86,7 +89,7 @@ def counted(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """The classifier from the places of each text and its label."""
-    ratio = ratios(*counted(rows, labels))
+    ratio = ratios(*counted(rows, labels), int(labels.sum()), int((1 - labels).sum()))
     return regress([r[ratio[r] != 0] for r in rows], labels, ratio)
 
 
@@ -163,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sums = sums.filter(F.col("p") + F.col("n") > 0).toArrow()
     p, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     p[sums.column("place").to_numpy()], n[sums.column("place").to_numpy()] = sums.column("p").to_numpy(), sums.column("n").to_numpy()
-    ratio = ratios(p, n)
+    of = {r["toxic"]: r["count"] for r in table.groupBy("toxic").count().collect()}  # two rows
+    ratio = ratios(p, n, of.get(1, 0), of.get(0, 0))
     del sums, p, n
     known = docs.sparkSession.sparkContext.broadcast(np.packbits(ratio != 0))
 
@@ -179,22 +183,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return regress(rows, np.array(used.column("toxic").to_pylist(), np.int64), ratio)
 
 
-def scores(docs: DataFrame, model: Model, columns: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+def scores(docs: DataFrame, model: Model, columns: list[str], score: str) -> DataFrame:
     """The named columns and the score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("`text`").cast("binary").alias("__text"))
-    schema = rows.drop("__text").withColumn("__score", F.lit(0.0)).schema
+    (text,) = free_names(docs, "_text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("`text`").cast("binary").alias(text))
+    schema = rows.drop(text).withColumn(score, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, model = Grams(), shared.value
         for batch in batches:
-            found = [model.score(grams(t or b"")) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "__score"])
+            for a in range(0, batch.num_rows, 256):  # few texts at once
+                part = batch.slice(a, 256)
+                found = [model.score(grams(t or b"")) for t in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.float64())], [*part.schema.names[:-1], score])
 
     return rows.mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    out = scores(docs, train(docs, labels))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    out = scores(pick(docs, "doc_id", "text"), train(docs, labels), ["doc_id"], "score")
+    held = remainder("doc_id", 5) == 0
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with a score below 0.5, as they came."""
+    (score,) = free_names(docs, "_score")
+    out = scores(docs, train(docs, labels), docs.columns, score)
+    return out.filter(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
