@@ -4,18 +4,20 @@ Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share all
 words; a source's target stops at three times its size and the excess goes to
 the others by weight.  Each source's documents stand in a random order, are
 taken in whole passes and one part of a pass, which leaves out rows too long for
-what is missing until no row fits, and the taken stream is cut into blocks.  A tree over the output shards splits the exact block quotas: at each
-node, how many blocks of each source go left is one multivariate-hypergeometric
+what is missing until no row fits, and the taken stream is cut into blocks.  A tree
+over the output shards splits the exact block quotas: at each node, how many blocks of each source go left is one multivariate-hypergeometric
 draw, so the shards together are a uniform shuffle of all blocks, but no node
 sees more than one number per source.  A shard then draws its own run of each
 source's permuted blocks and shuffles its rows locally.
 
 Everything is DataFrame expressions; random numbers are hashes of the seed and
 what they stand for, so reruns agree.  Rows are taken one by one: repeated ids
-or texts count as separate rows.  Null text has size 0; a source without words
-has target 0, and its rows are taken no times unless they have no size.  The
-sources themselves are one small table (a row, and an array element in each tree
-node, per source).
+or texts count as separate rows, ordered by their number in the scan where all else
+is equal; of rows that would close a gap equally well the one of least key is taken.
+Null text has size 0; a source without words has target 0, and rows without words are
+taken once, spread over their source's blocks by a hash.  The sources themselves are one
+small table (a row, and an array element in each tree node, per source).  The input is
+read again for its rows and must be a scan, a written table or cached rows.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, running_before, word_count
+from .common import Scratch, free_names, numbered, pick, running_before, small, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Sources up to which their table is broadcast; with more, Spark picks the join.
 FEW_SOURCES = 10_000
+#: Partitions of a written mix; with more shards, neighbours share one.
+MOST_PARTS = 100_000
 
 
 SEED = 17
@@ -163,10 +167,14 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = 4096, shard_words:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    base = pick(docs, "doc_id", "source", "text").select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _key(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"), seed).alias("key")
+    base = numbered(pick(docs, "doc_id", "source", "text"), "rid").select(
+        "rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _key(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"), seed).alias("key")
     )
     base = scratch.table(base, "rows")
+    # rows that are equal many times over stand at many places
+    often = scratch.table(base.groupBy("key").count().filter(F.col("count") > docs_per_bucket).select("key", F.lit(True).alias("often")), "often")
+    base = base.join(small(often, often.count()), "key", "left")
+    base = base.withColumn("key", F.when(F.col("often"), F.xxhash64("key", "rid")).otherwise(F.col("key"))).drop("often")
     sources = scratch.table(source_targets(base), "sources")
     few = sources.count() <= FEW_SOURCES
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -207,33 +215,41 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = 4096, shard_words:
     filled = filled.unionByName(last)
     gaps = gaps.join(last.select("rank", F.col("size").alias("got")), "rank", "left").withColumn("part", F.col("part") + F.coalesce("got", F.lit(0)))
     ends = gaps.select("rank", (F.col("passes") * F.col("source_size") + F.col("part")).alias("taken"))
-    ends = scratch.table(ends.withColumn("blocks", F.ceil(F.col("taken") / block_words)), "ends")
+    # a source of many rows without words has blocks for them
+    ends = ends.join(sources.select("rank", "n_docs"), "rank")
+    blocks = F.greatest(F.ceil(F.col("taken") / block_words), F.ceil(F.col("n_docs") / docs_per_bucket), F.lit(1))
+    ends = scratch.table(ends.select("rank", "taken", blocks.cast("long").alias("blocks")), "ends")
     rows = rows.join(F.broadcast(ends) if few else ends, "rank")
     at = lambda p: F.col("before") + p * F.col("source_size")
     passes = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), at)).otherwise(F.expr("cast(array() as array<bigint>)"))
     none = F.expr("cast(array() as array<bigint>)")
     extra = F.when(fits & (F.col("want") > 0), F.array(at(F.col("passes")))).otherwise(none)
-    taken = rows.select("rid", "rank", "blocks", F.posexplode(F.concat(passes, extra)).alias("copy", "at"))
+    once = F.when(F.col("size") > 0, F.concat(passes, extra)).otherwise(F.array(F.lit(0).cast("long")))
+    taken = rows.select("rid", "rank", "size", "taken", "blocks", F.posexplode(once).alias("copy", "at"))
     filled = filled.join(F.broadcast(ends) if few else ends, "rank")
-    taken = taken.unionByName(filled.select("rid", "rank", "blocks", "copy", "at"))
-    taken = taken.withColumn("block", F.least(F.floor(F.col("at") / block_words), F.greatest(F.col("blocks") - 1, F.lit(0))))
+    taken = taken.unionByName(filled.select("rid", "rank", "size", "taken", "blocks", "copy", "at"))
+    by_place = F.least(F.floor(F.col("at") * F.col("blocks") / F.greatest(F.col("taken"), F.lit(1))), F.col("blocks") - 1)
+    taken = taken.withColumn("block", F.when(F.col("size") > 0, by_place).otherwise(F.pmod(F.xxhash64(F.lit(seed), "rid"), F.col("blocks"))).cast("long"))
 
     # quotas down the tree, then each shard's run of every source's permuted blocks
     total = ends.agg(F.coalesce(F.sum("taken"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_words))
-    quotas = ends.agg(F.array_sort(F.collect_list(F.struct("rank", F.greatest("blocks", F.lit(1)).cast("long").alias("n")))).alias("all")).select(F.transform("all", lambda s: s["n"]).alias("k"), F.transform("all", lambda s: s["rank"]).alias("ranks"))
+    quotas = ends.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("blocks").alias("n")))).alias("all")).select(F.transform("all", lambda s: s["n"]).alias("k"), F.transform("all", lambda s: s["rank"]).alias("ranks"))
     tree = scratch.table(split_tree(quotas.select("k"), shards, seed), "tree")
     runs = tree.select("shard", F.posexplode("k").alias("rank", "n"))
     by_shard = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("first", F.coalesce(F.sum("n").over(by_shard), F.lit(0))).filter("n > 0")
     draws = runs.select("rank", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("nth"))
-    blocks = ends.select("rank", F.greatest("blocks", F.lit(1)).alias("blocks")).select("rank", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    blocks = ends.select("rank", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed + 1), "rank", "block")).withColumn("one", F.lit(1).cast("long"))
     blocks = blocks.withColumn("bucket", F.floor(F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53)) * F.ceil(F.col("blocks") / docs_per_bucket)).cast("long"))
     blocks = running_before(blocks, ["rank"], "bucket", [F.shiftrightunsigned("key", 1), F.col("key"), F.col("block")], "one", "nth").select("rank", "block", "nth")
     dealt = blocks.join(draws, ["rank", "nth"]).select("rank", "block", "shard")
     copies = taken.join(dealt, ["rank", "block"]).select("rid", "copy", "shard", F.xxhash64(F.lit(seed + 2), "shard", "rid", "copy").alias("place"))
-    return rows.select("rid", "doc_id", "key", "source", "size", "source_size", "target"), scratch.table(copies, "copies")
+    rows = scratch.table(rows.select("rid", "doc_id", "size", "source_size", "target"), "sized")
+    copies = scratch.table(copies, "copies")
+    scratch.clear(keep=["sized", "copies"])
+    return rows, copies
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -241,18 +257,21 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     rows, copies = mix(docs, **options)
     times = copies.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("shard")).alias("shards"))
     out = rows.join(times, "rid", "left")
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.coalesce("n", F.lit(0))).cast("long").alias("taken"), F.coalesce("shards", F.expr("cast(array() as array<bigint>)")).alias("shards"))
+    taken = (F.col("size") * F.coalesce("n", F.lit(0))).cast("long")
+    shards = F.coalesce("shards", F.expr("cast(array() as array<bigint>)"))
+    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), shards.alias("shards"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents, each as often as it is taken, with the columns they came with."""
-    rows, copies = mix(docs, **options)
-    counts = copies.groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    # rows with the same id, source and text are told apart by their number alone
-    times = rows.join(counts, "rid").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__k")).agg(F.array_sort(F.collect_list("n")).alias("__times"))
-    tagged = docs.withColumn("__doc", F.col("`doc_id`").cast("long"))
-    tagged = tagged.withColumn("__key", _key(F.col("__doc"), F.col("`source`").cast("string"), F.col("`text`"), options.get("seed", SEED)))
-    joined = tagged.join(times, (F.col("__key") == F.col("__k")) & F.col("__doc").eqNullSafe(F.col("__id")))
-    nth = F.row_number().over(Window.partitionBy("__key", "__doc").orderBy(F.lit(0)))
-    joined = joined.withColumn("__nth", nth).withColumn("__n", F.get("__times", F.col("__nth") - 1)).filter("__n > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixed documents, each as often as it is taken, with the columns they came with.
+
+    A partition holds whole shards, each in its shuffled order.
+    """
+    _, copies = mix(docs, **options)
+    rid, shard, place = free_names(docs, "_rid", "_shard", "_place")
+    copies = copies.select(F.col("rid").alias(rid), F.col("shard").alias(shard), F.col("place").alias(place))
+    last = copies.agg(F.max(shard)).first()[0]
+    parts = min((last or 0) + 1, MOST_PARTS)
+    rows = numbered(docs, rid).join(copies, rid)
+    rows = rows.repartitionById(parts, (F.col(shard) * parts / F.lit((last or 0) + 1)).cast("int")).sortWithinPartitions(shard, place)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

