@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, range_partition, running_before, tie_of
+from .words import LOWER, KeyTable, distinct, joined, lanes, with_nul
 
 BLOCK = 128
 #: Index of the difference, of 128 in order, that must fit in the width.
@@ -157,63 +158,28 @@ class PackedFile:
         self.file.close()
 
 
-class UnitTable:
-    """Ids of short units in open addressing over numpy arrays, looked up many at once.
+class UnitTable(KeyTable):
+    """Ids of short units, compared whole, so a clash of hashes never gives wrong ids."""
 
-    A unit of at most 16 bytes is two 64-bit words, which are compared whole, so a
-    clash of hashes never gives wrong ids.
-    """
-
-    SLOTS = 1 << 21
     MOST = 1 << 20
 
     def __init__(self, kind: np.dtype):
         self.kind = kind
-        self.clear()
+        super().__init__()
 
     def clear(self) -> None:
-        self.low, self.high = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
-        self.first, self.count = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
-        self.pool, self.used, self.units = np.zeros(1 << 20, self.kind), 0, 0
-
-    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        h = (low ^ (high * np.uint64(0xA0761D6478BD642F))) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 21)).astype(np.int64)
-
-    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Slot of each unit, -1 where it is not known."""
-        slot = self._home(low, high)
-        wrong = np.nonzero((self.low[slot] != low) | (self.high[slot] != high))[0]
-        while len(wrong):  # no unit is 0, so an empty slot ends a search
-            at = slot[wrong]
-            free = self.low[at] == 0
-            slot[wrong[free]] = -1
-            wrong = wrong[~free]
-            at = (at[~free] + 1) & (self.SLOTS - 1)
-            slot[wrong] = at
-            wrong = wrong[(self.low[at] != low[wrong]) | (self.high[at] != high[wrong])]
-        return slot
+        super().clear()
+        self.first, self.count = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
+        self.pool, self.used = np.zeros(1 << 20, self.kind), 0
 
     def add(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """Distinct units that are not known, with their ids one after another."""
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), self.kind)])
         self.pool[self.used : self.used + len(ids)] = ids
-        first = self.used + np.cumsum(counts) - counts
+        slot = self.put(low, high)
+        self.first[slot], self.count[slot] = self.used + np.cumsum(counts) - counts, counts
         self.used += len(ids)
-        self.units += len(low)
-        slot, left = self._home(low, high), np.arange(len(low))
-        while len(left):
-            at = slot[left]
-            free = self.low[at] == 0
-            self.first[at[free]] = left[free]  # of several for one slot, the last one written has it
-            won = np.zeros(len(left), bool)
-            won[free] = self.first[at[free]] == left[free]
-            own = left[won]
-            self.low[slot[own]], self.high[slot[own]] = low[own], high[own]
-            self.first[slot[own]], self.count[slot[own]] = first[own], counts[own]
-            left = left[~won]
-            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
 
 
 def _classes() -> np.ndarray:
@@ -228,10 +194,6 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_KEEP = (np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))) - np.uint64(1)
-_KEEP = np.append(_KEEP, np.uint64(0xFFFFFFFFFFFFFFFF))
 
 
 class WordIds:
@@ -312,7 +274,7 @@ class WordIds:
     def _ids(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first byte, number of ids) of each unit, and all ids; ``data`` ends with 16 spaces."""
         raw = np.frombuffer(data, np.uint8)
-        text = _LOWER[raw]
+        text = LOWER[raw]
         kind = _CLASS[text]
         # Latin-1 letters: C3 and a byte that stands for no sign
         lead = np.nonzero(text[:-1] == 0xC3)[0]
@@ -342,22 +304,16 @@ class WordIds:
         at = at[starts]
         if not len(at):
             return at, np.zeros(0, np.int64), np.zeros(0, self.kind)
-        lanes = np.lib.stride_tricks.as_strided(text.view("<u8") if len(text) % 8 == 0 else np.append(text, np.zeros(-len(text) % 8, np.uint8)).view("<u8"), (len(text) - 8,), (1,))
-        low = lanes[at] & _KEEP[np.minimum(size, 8)]
-        high = np.zeros(len(at), np.uint64)
-        wide = np.nonzero(size > 8)[0]
-        high[wide] = lanes[at[wide] + 8] & _KEEP[np.minimum(size[wide] - 8, 8)]
-        short = size <= 16
-        if self.table.units > self.table.MOST:
+        low, high = lanes(text, at, size)
+        short = (size <= 16) & ~with_nul(text, at, size)
+        if self.table.keys > self.table.MOST:
             self.table.clear()
         slot = np.full(len(at), -1, np.int64)
         slot[short] = self.table.find(low[short], high[short])
         new = np.nonzero(short & (slot < 0))[0]
         if len(new):
-            order = new[np.lexsort((high[new], low[new]))]
-            first = np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))
-            distinct = order[first]
-            self._learn(low[distinct], high[distinct], size[distinct])
+            some = new[distinct(low[new], high[new])]
+            self._learn(low[some], high[some], size[some])
             slot[new] = self.table.find(low[new], high[new])
         count, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         count[short], start[short] = self.table.count[slot[short]], self.table.first[slot[short]]
@@ -378,10 +334,9 @@ class WordIds:
         return at, count, pool[where]
 
     def _stretch(self, texts: list[bytes]) -> list[bytes]:
-        sizes = np.array([len(t) + 1 for t in texts])
-        pad = 16 + -(sizes.sum() + 16) % 8
-        at, count, ids = self._ids(b" ".join([*texts, b" " * (pad - 1) + b" "]))
-        upto = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))] * self.kind.itemsize
+        data, first = joined(texts)
+        at, count, ids = self._ids(data)
+        upto = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(at, first)] * self.kind.itemsize
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
