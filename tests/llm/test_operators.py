@@ -65,18 +65,106 @@ def test_language_model(docs, empty):
     assert brown_lm.scored(empty).count() == 0
 
 
-def test_classes_are_probabilities():
+def plain_score(rows, m, vocabulary, scratch_counts, n, v):
+    """The model's score of each text, token by token with Python numbers, from its tables."""
+    number = {w: i for i, w in enumerate(vocabulary)}
+    out = []
+    for _, text in rows:
+        before, total = m.classes.of_end, 0.0
+        for t in [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), text or "")), None]:
+            if t is None:
+                c, c_of, emit = m.n_docs, m.classes.of_end, m.emit_end
+            elif t in number:
+                i = number[t]
+                c, c_of, emit = int(m.counts[i]), int(m.classes.of_words[i]), float(m.emit[i])
+            else:
+                data, at, size, _, _ = words_of([t.encode()])
+                g = int(brown_lm.shapes_of(data, at, size)[0])
+                c, c_of = scratch_counts.get(t, 0), int(m.classes.of_groups[g])
+                emit = float(m.emit_group[g]) * (c + 0.1)
+            total += math.log10(0.9 * float(m.step[before, c_of]) * emit + 0.1 * (c + 0.1) / (n + 0.1 * (v + 1)))
+            before = c_of
+        out.append(total)
+    return out
+
+
+def words_of(texts):
+    from dishscope.llm.words import joined, words
+
+    return words(joined(texts)[0])
+
+
+def test_language_model_score_token_by_token(spark, docs, monkeypatch):
+    kept = {}
+    plain = brown_lm.trained
+    monkeypatch.setattr(brown_lm, "CORE", 30)  # so that words are inserted too
+
+    def keep(rows, counts, shared, *a):
+        kept["model"], kept["words"] = plain(rows, counts, shared, *a), {bytes(r["word"]).decode(): r["n"] for r in counts.collect()}
+        kept["vocabulary"] = shared.value
+        return kept["model"]
+
+    monkeypatch.setattr(brown_lm, "trained", keep)
+    monkeypatch.setattr(brown_lm, "_units", lambda ids, shapes: np.where(ids == brown_lm._END, brown_lm.END, np.where((ids >= 0) & (ids < 30), ids, brown_lm.CORE + 0 * ids + np.where(ids >= 0, shapes[np.where((ids >= 0) & (ids != brown_lm._END), ids, 0)], -1 - ids))).astype(np.int64))
+    got = brown_lm.scored(docs).collect()
+    m, counts = kept["model"], kept["words"]
+    order = sorted((w for w in counts if counts[w] >= 5), key=lambda w: (-counts[w], w.encode()))
+    assert [counts[w] for w in order] == m.counts.tolist()
+    n, v = got[0].train_tokens, len(counts) + 1
+    want = plain_score([(r[0], r[1]) for r in ROWS], m, order, counts, n, v)
+    assert np.allclose(sorted(want), sorted(r.score for r in got), rtol=1e-9)
+    # the vocabulary's words and the groups share out each class
+    groups = m.emit_group * 0
+    mass = np.array([sum(c for w, c in counts.items() if c < 5 and int(brown_lm.shapes_of(*words_of([w.encode()])[:3])[0]) == g) for g in range(brown_lm.SHAPES)])
+    kinds = np.array([sum(1 for w, c in counts.items() if c < 5 and int(brown_lm.shapes_of(*words_of([w.encode()])[:3])[0]) == g) for g in range(brown_lm.SHAPES)])
+    groups = m.emit_group * (mass + 0.1 * (kinds + 1))
+    total = np.bincount(m.classes.of_words, m.emit, brown_lm.CLASSES) + np.bincount(m.classes.of_groups, groups, brown_lm.CLASSES)
+    total[m.classes.of_end] += m.emit_end
+    assert np.allclose(total[total > 0], 1) and np.allclose(m.step.sum(axis=1), 1)
+
+
+def test_held_out_perplexity_is_below_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = brown_lm.scored(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert 10 ** (-r.s / r.n) < 0.65 * 10 ** (-r.b / r.n)
+
+
+def test_exchange_reaches_a_point_where_nothing_moves():
     rng = np.random.default_rng(1)
-    pairs = np.zeros((brown_lm.IDS, brown_lm.IDS))
-    pairs[:30, :30] = rng.integers(0, 9, (30, 30))
-    of = brown_lm.exchange(pairs)
-    m = brown_lm.Model(np.zeros(0), np.zeros(0, int), pairs, of, 10, 5, np.zeros(brown_lm.SHAPES), np.zeros(brown_lm.SHAPES))
-    assert np.allclose(m.step.sum(axis=1), 1)
-    assert np.allclose(np.bincount(of, m.emit, brown_lm.CLASSES)[np.unique(of)], 1)
-    two = np.zeros((12, 12))  # words that always alternate between two sets fall into two classes
-    two[:6, 6:], two[6:, :6] = rng.integers(1, 50, (6, 6)), rng.integers(1, 50, (6, 6))
-    c = brown_lm.exchange(two, 2)
-    assert len(set(c[:6])) == 1 and len(set(c[6:])) == 1 and c[0] != c[6]
+
+    def likelihood(pairs, of, k):
+        m = np.zeros((k, k))
+        for a in range(k):
+            for b in range(k):
+                m[a, b] = pairs[np.ix_(of == a, of == b)].sum()
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(m) - f(m.sum(axis=0)) - f(m.sum(axis=1))
+
+    pairs = rng.integers(0, 6, (25, 25)).astype(float) * (rng.random((25, 25)) < 0.3)
+    of = brown_lm.exchange(pairs, 4)
+    best = likelihood(pairs, of, 4)
+    for w in range(25):
+        for k in range(4):
+            other = of.copy()
+            other[w] = k
+            assert likelihood(pairs, other, 4) <= best + 1e-6
+    # a word beyond the core: the gain of each class is the difference of likelihoods
+    w = int(np.argmax(pairs.sum(axis=0) + pairs.sum(axis=1)))
+    pairs[w, w] = 0
+    both = np.array([[pairs[np.ix_(of == a, of == b)].sum() for b in range(4)] for a in range(4)])
+    left, right = (np.array([[x[of == k].sum() for k in range(4)]]) for x in (pairs[:, w], pairs[w]))
+    gain = brown_lm.insertion_gains(left, right, of[[w]], both)[0]
+    true = np.array([likelihood(pairs, np.where(np.arange(25) == w, k, of), 4) for k in range(4)])
+    assert int(np.argmax(gain)) == int(np.argmax(true)) and np.allclose(gain - gain[of[w]], true - true[of[w]], atol=1e-6)
+
+
+def test_words_of_any_kind():
+    texts = ["A\x00b a\x00b a", "x" * 40 + " " + "X" * 40, "", "ß É\u00a0f\x1cg", "\x00 \x00\x00"]
+    data, at, size, low, high = words_of([t.encode() for t in texts])
+    plain = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())]
+    assert [data[a : a + n].tobytes() for a, n in zip(at, size, strict=True)] == plain
+    keys = list(zip(low.tolist(), high.tolist(), strict=True))
+    assert len(set(keys)) == len(set(plain)) and len({(k, w) for k, w in zip(keys, plain, strict=True)}) == len(set(plain))
 
 
 def test_packed_files(spark, docs, empty, tmp_path):
@@ -106,7 +194,7 @@ def test_words_are_encoded_as_in_whole_texts():
     with open(path, encoding="utf-8") as f:
         w = packed_ids.WordIds(f.read())
     rng = random.Random(1)
-    parts = [" ", "\n", "\x0b", "\x1c", "\xa0", " ", "́", "e", "É", "İ", "Σ", "ß", "'s", "'S", "12", "<|endoftext|>", "<|", "日", "👍", "a", "B", ".", "!!", "‍", "µ", "ª", "×"]
+    parts = [" ", "\n", "\x0b", "\x1c", "\xa0", " ", "́", "e", "É", "İ", "Σ", "ß", "'s", "'S", "12", "<|endoftext|>", "<|", "日", "👍", "a", "B", ".", "!!", "‍", "µ", "ª", "×", "\x00", "\x00\x00a"]
     for _ in range(3000):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
         assert np.frombuffer(w.encode([x.encode()])[0], w.kind).tolist() == w.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
