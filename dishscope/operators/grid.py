@@ -42,10 +42,16 @@ def box_mean(grid: DataFrame, keys: list[str], value: str, r: int, weight: str |
     return g.withColumn(out, F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))).drop("_xw", "_num", "_den")
 
 
-def gauss_blur(grid: DataFrame, keys: list[str], value: str, sigma: float, out: str = "blur") -> DataFrame:
+def gauss_blur(grid: DataFrame, keys: list[str], value: str, sigma: float, out: str = "blur", weight: str | None = None) -> DataFrame:
+    """Three box means; with a weight, of the weighted values over those of the weights, null where there are none near."""
     if sigma <= 0.5:
         return grid.withColumn(out, F.col(value))
-    return box_blur(grid, keys, value, gauss_radius(sigma), 3, out)
+    r = gauss_radius(sigma)
+    if weight is None:
+        return box_blur(grid, keys, value, r, 3, out)
+    g = grid.withColumn("_xw", F.when(F.col(weight) > 0, F.col(value) * F.col(weight)).otherwise(0.0))
+    g = box_blur(box_blur(g, keys, "_xw", r, 3, "_num"), keys, weight, r, 3, "_den")
+    return g.withColumn(out, F.when(F.col("_den") >= 1e-6, F.col("_num") / F.col("_den"))).drop("_xw", "_num", "_den")
 
 
 def local_sd(grid: DataFrame, keys: list[str], value: str, r: int, out: str = "sd") -> DataFrame:
@@ -122,10 +128,15 @@ def label_components(grid: DataFrame, keys: list[str], mask: str, connectivity:
     return slim.groupBy(*keys, "_all").applyInPandas(one, schema)
 
 
-def bilinear(grid: DataFrame, keys: list[str], points: DataFrame, value: str, out: str = "value") -> DataFrame:
-    """Points (keys, px, py) with the value between their four pixels; null outside."""
-    p = points.withColumn("_x", F.floor("px").cast("int")).withColumn("_y", F.floor("py").cast("int")).withColumn("_id", F.monotonically_increasing_id())
-    corners = F.array(*[F.struct((F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"), ((F.col("px") - F.col("_x")) if dx else (1 - F.col("px") + F.col("_x"))).alias("_u"), ((F.col("py") - F.col("_y")) if dy else (1 - F.col("py") + F.col("_y"))).alias("_w")) for dx in (0, 1) for dy in (0, 1)])
-    parts = p.select(*keys, "px", "py", "_id", F.explode(corners).alias("c")).select(*keys, "px", "py", "_id", "c.*").filter("_u * _w > 0")
-    sums = parts.join(grid.select(*keys, "x", "y", value), [*keys, "x", "y"], "left").groupBy(*keys, "px", "py", "_id").agg(F.sum(F.col("_u") * F.col("_w") * F.col(value)).alias(out), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_all"))
-    return sums.select(*keys, "px", "py", F.when(F.col("_n") == F.col("_all"), F.col(out)).alias(out))
+def bilinear(grid: DataFrame, keys: list[str], points: DataFrame, value: str, out: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Points (keys, px, py, and columns to keep) with the value between their four pixels; null outside."""
+    own = [*keys, *(keep or []), "px", "py"]
+    p = points.select(*own, F.floor("px").cast("int").alias("_x"), F.floor("py").cast("int").alias("_y"), F.monotonically_increasing_id().alias("_id"))
+    corner = lambda dx, dy: F.struct(
+        (F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"), ((F.col("px") - F.col("_x")) if dx else (1 - F.col("px") + F.col("_x"))).alias("_u"), ((F.col("py") - F.col("_y")) if dy else (1 - F.col("py") + F.col("_y"))).alias("_w")
+    )
+    corners = F.array(*[corner(dx, dy) for dx in (0, 1) for dy in (0, 1)])
+    parts = p.select(*own, "_id", F.explode(corners).alias("c")).select(*own, "_id", "c.*").filter("_u * _w > 0")
+    met = parts.join(grid.select(*keys, "x", "y", value), [*keys, "x", "y"], "left")
+    sums = met.groupBy(*own, "_id").agg(F.sum(F.col("_u") * F.col("_w") * F.col(value)).alias(out), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_all"))
+    return sums.select(*own, F.when(F.col("_n") == F.col("_all"), F.col(out)).alias(out))

@@ -81,3 +81,17 @@ def correct_facing_bias(colonies: DataFrame, control: str = "control", group: st
     bias = colonies.filter(F.col(group) == control).groupBy("colony_id").agg(*[F.avg(v).alias(f"_{v}") for v in own])
     joined = colonies.join(bias, "colony_id", "left")
     return joined.select(*colonies.columns, *[(F.col(v) - F.col(f"_{v}")).alias(f"{v}_corrected") for v in own])
+
+
+def pixels_in_regions(pixels: DataFrame, regions: list[tuple[str, float, float, float]]) -> DataFrame:
+    """class and the pixels' columns for every circle (class, x, y, r) and pixel in it; a pixel in two circles counts twice."""
+    circles = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(r)).alias("r")) for c, x, y, r in regions])
+    inside = lambda t: (F.col("x") - t["x"]) * (F.col("x") - t["x"]) + (F.col("y") - t["y"]) * (F.col("y") - t["y"]) <= t["r"] * t["r"]
+    return pixels.select("*", F.explode(F.filter(circles, inside)).alias("_t")).select(F.col("_t.class").alias("class"), *pixels.columns)
+
+
+def with_truth(measured: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both with the same keys; columns that both have get the suffixes _measured and _truth."""
+    both = [c for c in measured.columns if c in truth.columns and c not in keys]
+    name = lambda df, suffix: df.select(*[F.col(c).alias(f"{c}_{suffix}" if c in both else c) for c in df.columns])
+    return name(measured, "measured").join(name(truth, "truth"), keys)

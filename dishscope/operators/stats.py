@@ -73,73 +73,92 @@ def group_descriptives(sums: DataFrame) -> DataFrame:
     return sums.groupBy("group").agg(F.count(F.lit(1)).alias("n_plates"), F.sum("n").alias("n_colonies"), F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd_between_plates"), F.avg(within).alias("sd_within_plates"))
 
 
-def _mixed(plates: list, levels: list[str]) -> tuple[list[dict], float]:
-    """REML of y ~ group + (1 | plate), profiled over the ratio of variances; groups do not share parameters but it."""
-    total, k = sum(p["n"] for p in plates), len(levels)
-
-    def at(theta: float):
-        means, logdet, rss = {}, 0.0, sum(p["ss"] for p in plates)
+@dataclass
+class Cells:
+    """What a mixed model needs of plates: for each group and number of colonies a plate, sums over its plates.
+
+    Plate means are taken less ``origin``, so squares stay small.  There are as many
+    cells as groups times different plate sizes, however many plates.
+    """
+
+    origin: float
+    rows: list[dict]
+
+    @classmethod
+    def of(cls, sums: DataFrame) -> Cells:
+        origin = sums.agg(F.avg("mean")).first()[0] or 0.0
+        y = F.col("mean") - F.lit(origin)
+        cells = sums.groupBy("group", "n").agg(F.count(F.lit(1)).alias("k"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.sum("ss").alias("ss"))
+        return cls(origin, [r.asDict() for r in cells.orderBy("group", "n").collect()])
+
+    def at(self, theta: float, levels: list[str]) -> tuple[float, float, dict[str, tuple[float, float]]]:
+        """(deviance, residual variance, mean and weight by group) of REML at a ratio of variances."""
+        total, rss, logdet, means = sum(c["n"] * c["k"] for c in self.rows), sum(c["ss"] for c in self.rows), 0.0, {}
         for g in levels:
-            own = [(p["n"] / (1 + theta * p["n"]), p["mean"]) for p in plates if p["group"] == g]
-            w = sum(v for v, _ in own)
-            m = sum(v * y for v, y in own) / w
-            rss += sum(v * (y - m) ** 2 for v, y in own)
-            logdet += math.log(w)
-            means[g] = (m, w)
-        logdet += sum(math.log(1 + theta * p["n"]) for p in plates)
-        s2 = rss / (total - k)
-        return (total - k) * math.log(s2) + logdet, s2, means
-
-    lo, hi, golden = -12.0, 8.0, (math.sqrt(5) - 1) / 2
-    for _ in range(200):
-        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        lo, hi = (lo, b) if at(math.exp(a))[0] < at(math.exp(b))[0] else (a, hi)
-    theta = math.exp((lo + hi) / 2)
-    if at(0.0)[0] <= at(theta)[0]:
-        theta = 0.0
-    _, s2, means = at(theta)
-    df = len(plates) - k
+            own = [(c["n"] / (1 + theta * c["n"]), c) for c in self.rows if c["group"] == g]
+            w, wy = sum(v * c["k"] for v, c in own), sum(v * c["sy"] for v, c in own)
+            rss += sum(v * c["syy"] for v, c in own) - wy * wy / w
+            logdet += math.log(w) + sum(c["k"] * math.log1p(theta * c["n"]) for _, c in own)
+            means[g] = (self.origin + wy / w, w)
+        free = total - len(levels)
+        return free * math.log(rss / free) + logdet, rss / free, means
+
+
+def _mixed(cells: Cells, levels: list[str]) -> tuple[list[dict], float]:
+    """REML of y ~ group + (1 | plate), profiled over the ratio of variances on ever finer grids; groups do not share parameters but it."""
+    lo, step, n, best = -12.0, 0.05, 401, 0.0
+    for _ in range(4):
+        logs = [lo + step * i for i in range(n)]
+        deviance = [(round(cells.at(t, levels)[0], 9), i) for i, t in enumerate([0.0, *map(math.exp, logs)])]
+        i = min(deviance)[1]
+        best, middle = (0.0, -12.0) if i == 0 else (math.exp(logs[i - 1]), logs[i - 1])
+        step, n = step / 100, 201
+        lo = middle - 100 * step
+    _, s2, means = cells.at(best, levels)
+    df = sum(c["k"] for c in cells.rows) - len(levels)
     rows = []
     base, wb = means[levels[0]]
     for g in levels[1:]:
         m, w = means[g]
         est, se = m - base, math.sqrt(s2 * (1 / w + 1 / wb))
         rows.append({"term": g, "estimate": est, "se": se, "t": est / se, "ci_lo": est - Z95 * se, "ci_hi": est + Z95 * se, "df": df, "p": t_tail(est / se, df)})
-    return rows, theta / (1 + theta)
+    return rows, best / (1 + best)
 
 
 def compare(colonies: DataFrame, response: str = "MI_mean", group: str = "treatment", plate: str = "plate_id", reference: str | None = None, method: str = "auto") -> Comparison:
-    """Mixed model (three or more plates in every group) or plate means; the first level is the reference, else the first by name."""
+    """Mixed model (three or more plates in every group) or plate means; the first level is the reference, else the first by name.
+
+    Plates are summed up where they are: the driver gets a row for each group, and for
+    each group and plate size.
+    """
     sums = plate_sums(colonies, response, group, plate)
-    plates = [r.asDict() for r in sums.collect()]  # a row a plate
-    levels = sorted({p["group"] for p in plates if p["group"] is not None})
+    described = group_descriptives(sums)
+    sums = sums.filter(F.col("group").isNotNull())
+    found = sums.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.avg("mean").alias("mean"), F.var_samp("mean").alias("var")).collect()
+    by = {r["group"]: r for r in found}
+    levels = sorted(by)
     if reference is not None:
         if reference not in levels:
             raise ValueError(f"no group {reference}")
         levels = [reference, *[g for g in levels if g != reference]]
     if len(levels) < 2:
         raise ValueError("two groups are needed")
-    plates = [p for p in plates if p["group"] is not None]
-    by = {g: [p["mean"] for p in plates if p["group"] == g] for g in levels}
-    described = group_descriptives(sums)
-    if method == "mixed" or (method == "auto" and min(len(v) for v in by.values()) >= 3):
-        rows, icc = _mixed(plates, levels)
+    if method == "mixed" or (method == "auto" and min(r["k"] for r in by.values()) >= 3):
+        rows, icc = _mixed(Cells.of(sums), levels)
         return Comparison("mixed", rows, icc, described)
-    mean = {g: sum(v) / len(v) for g, v in by.items()}
-    var = {g: sum((x - mean[g]) ** 2 for x in v) / (len(v) - 1) if len(v) > 1 else float("nan") for g, v in by.items()}
     if len(levels) == 2:
-        a, b = levels
-        va, vb = var[a] / len(by[a]), var[b] / len(by[b])
-        se = math.sqrt(va + vb)
-        if not se > 0:
+        a, b = (by[g] for g in levels)
+        if a["var"] is None or b["var"] is None or not a["var"] + b["var"] > 0:
             return Comparison("welch", [], None, described, "too few plates for a test")
-        df = (va + vb) ** 2 / (va**2 / (len(by[a]) - 1) + vb**2 / (len(by[b]) - 1))
-        est, q = mean[b] - mean[a], t_quantile(0.975, df)
-        return Comparison("welch", [{"term": b, "estimate": est, "se": se, "t": est / se, "ci_lo": est - q * se, "ci_hi": est + q * se, "df": df, "p": t_tail(est / se, df)}], None, described)
-    n = len(plates)
-    grand = sum(p["mean"] for p in plates) / n
-    between = sum(len(v) * (mean[g] - grand) ** 2 for g, v in by.items())
-    rest = sum((x - mean[g]) ** 2 for g, v in by.items() for x in v)
+        va, vb = a["var"] / a["k"], b["var"] / b["k"]
+        se, est = math.sqrt(va + vb), b["mean"] - a["mean"]
+        df = (va + vb) ** 2 / (va**2 / (a["k"] - 1) + vb**2 / (b["k"] - 1))
+        q = t_quantile(0.975, df)
+        return Comparison("welch", [{"term": levels[1], "estimate": est, "se": se, "t": est / se, "ci_lo": est - q * se, "ci_hi": est + q * se, "df": df, "p": t_tail(est / se, df)}], None, described)
+    n = sum(r["k"] for r in found)
+    grand = sum(r["k"] * r["mean"] for r in found) / n
+    between = sum(r["k"] * (r["mean"] - grand) ** 2 for r in found)
+    rest = sum((r["var"] or 0.0) * (r["k"] - 1) for r in found)
     d1, d2 = len(levels) - 1, n - len(levels)
     f = (between / d1) / (rest / d2) if d2 > 0 and rest > 0 else float("nan")
     return Comparison("anova", [{"term": group, "df": d1, "sum_sq": between, "mean_sq": between / d1, "f": f, "p": f_tail(f, d1, d2) if f == f else float("nan")}, {"term": "residuals", "df": d2, "sum_sq": rest, "mean_sq": rest / d2 if d2 else float("nan"), "f": None, "p": None}], None, described)

@@ -87,11 +87,13 @@ def lab_to_srgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", rounded(r).alias("r"), rounded(g).alias("g"), rounded(b).alias("b"))
 
 
-@query(f"""WITH {_LAB}, h AS (SELECT *, degrees(atan2(b, a)) AS h FROM lab WHERE sqrt(a * a + b * b) > 1)
-SELECT l_orderkey, l_linenumber, round(sqrt(a * a + b * b), 6) AS chroma, round(CASE WHEN h < 0 THEN h + 360 ELSE h END, 6) + 0.0 AS hue FROM h""")
+@query(f"""WITH {_LAB}, h AS (SELECT *, degrees(atan2(b, a)) AS h, sqrt(a * a + b * b) AS c FROM lab)
+SELECT l_orderkey, l_linenumber, round(c, 6) + 0.0 AS chroma, CASE WHEN c > 1 THEN round(CASE WHEN h < 0 THEN h + 360 ELSE h END, 6) + 0.0 END AS hue FROM h""")
 def chroma_hue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lab_pixels(spark, sf_dir).filter(C.chroma(F.col("a"), F.col("b")) > 1)
-    return p.select("l_orderkey", "l_linenumber", rounded(C.chroma(F.col("a"), F.col("b"))).alias("chroma"), rounded(C.hue(F.col("a"), F.col("b"))).alias("hue"))
+    """Chroma and hue of every pixel; a hue that rounding alone decides is left out."""
+    p = lab_pixels(spark, sf_dir)
+    c = C.chroma(F.col("a"), F.col("b"))
+    return p.select("l_orderkey", "l_linenumber", rounded(c).alias("chroma"), F.when(c > 1, rounded(C.hue(F.col("a"), F.col("b")))).alias("hue"))
 
 
 @query(f"""WITH {_LAB}, m AS (SELECT plate, avg(L) AS mL, avg(a) AS ma, avg(b) AS mb FROM lab GROUP BY plate)
@@ -171,13 +173,6 @@ def edt_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("y", "x", rounded(F.col("dist")).alias("dist"))
 
 
-@query()
-def label_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component sizes of the positive pixels, by label; tested against a flood fill."""
-    g = grid.label_components(plane(spark, sf_dir).withColumn("m", F.col("v") > 0), [], "m")
-    return g.filter("label > 0").groupBy(F.col("label").alias("component")).agg(F.count(F.lit(1)).alias("n_pixels"), F.min("x").alias("x0"), F.min("y").alias("y0"))
-
-
 @query(f"""WITH {_LAB}, e AS (SELECT plate, min(L) AS lo, max(L) AS hi FROM lab GROUP BY plate),
 b AS (SELECT plate, lo, hi, least(floor((L - lo) / ((hi - lo) / 256)), 255) AS bin FROM lab JOIN e USING (plate)), h AS (SELECT plate, lo, hi, bin, count(*) AS n, lo + (bin + 0.5) * ((hi - lo) / 256) AS mid FROM b GROUP BY plate, lo, hi, bin),
 c AS (SELECT *, sum(n) OVER u AS w, sum(n * mid) OVER u AS m, sum(n) OVER p AS tw, sum(n * mid) OVER p AS tm FROM h WINDOW u AS (PARTITION BY plate ORDER BY bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY plate)),
@@ -202,40 +197,14 @@ def color_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.colour_mode(lab_pixels(spark, sf_dir), ["plate"])
 
 
-@query(f"""WITH {_LAB}, m AS (SELECT plate, median(L) AS cL, median(a) AS ca, median(b) AS cb, greatest(stddev_samp(L) / 4, 0.25) AS sL, greatest(stddev_samp(a) / 4, 0.25) AS sa, greatest(stddev_samp(b) / 4, 0.25) AS sb FROM lab GROUP BY plate)
-SELECT plate, count(*) AS n, CAST(count(*) FILTER (WHERE pow((L - cL) / sL, 2) + pow((a - ca) / sa, 2) + pow((b - cb) / sb, 2) > {robust.CHI2_3_999!r} AND sqrt(pow(L - cL, 2) + pow(a - ca, 2) + pow(b - cb, 2)) > 3) AS BIGINT) AS objects FROM lab JOIN m USING (plate) GROUP BY plate""")
-def object_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lab_pixels(spark, sf_dir)
-    wide = lambda c: F.greatest(F.stddev_samp(c) / 4, F.lit(0.25))
-    m = p.groupBy("plate").agg(*[F.median(c).alias(f"c{c}") for c in ("L", "a", "b")], *[wide(c).alias(f"s{c}") for c in ("L", "a", "b")])
-    triple = lambda pre: tuple(F.col(f"{pre}{c}") for c in ("L", "a", "b"))
-    marked = (robust.object_distance(triple(""), triple("c"), triple("s")) > robust.CHI2_3_999) & (C.delta_e(triple(""), triple("c")) > 3)
-    return p.join(m, "plate").groupBy("plate").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(marked, 1)).alias("objects"))
-
-
-@query("""WITH e AS (SELECT event_type AS colony_id, value, floor(value / 10) + 1 AS ring FROM events WHERE value IS NOT NULL AND value >= 0)
-SELECT colony_id, CAST(least(ring, 10) AS INTEGER) AS ring, count(*) AS n_pixels, round(avg(value), 6) AS L_mean, round(stddev_samp(value), 6) AS L_sd FROM e GROUP BY colony_id, least(ring, 10)""")
-def ring_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("value >= 0")
-    ring = F.least(F.floor(F.col("value") / 10) + 1, F.lit(10)).cast("int")
-    return e.groupBy(F.col("event_type").alias("colony_id"), ring.alias("ring")).agg(F.count(F.lit(1)).alias("n_pixels"), rounded(F.avg("value")).alias("L_mean"), rounded(F.stddev_samp("value")).alias("L_sd"))
-
-
-@query(f"""WITH {_PLANE} SELECT label, count(*) AS n_pixels, round(avg(x), 6) AS centroid_x, round(avg(y), 6) AS centroid_y, round(avg(v), 6) + 0.0 AS v_mean, round(median(v), 6) + 0.0 AS v_median, round(stddev_samp(v), 6) AS v_sd,
-round(quantile_cont(v, 0.25), 6) + 0.0 AS v_q25, round(quantile_cont(v, 0.75), 6) + 0.0 AS v_q75, round(2 * sqrt(count(*) / {math.pi!r}), 6) AS eq_diameter FROM plane GROUP BY label""")
-def colony_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plane(spark, sf_dir)
-    return p.groupBy("label").agg(F.count(F.lit(1)).alias("n_pixels"), rounded(F.avg("x")).alias("centroid_x"), rounded(F.avg("y")).alias("centroid_y"), rounded(F.avg("v")).alias("v_mean"), rounded(F.median("v")).alias("v_median"), rounded(F.stddev_samp("v")).alias("v_sd"), rounded(robust.quantile("v", 0.25)).alias("v_q25"), rounded(robust.quantile("v", 0.75)).alias("v_q75"), rounded(2 * F.sqrt(F.count(F.lit(1)) / math.pi)).alias("eq_diameter"))
-
-
 @query("""WITH b AS (SELECT event_type AS colony_id, user_id AS block, sum(value) AS s, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
 i AS (SELECT *, row_number() OVER (PARTITION BY colony_id ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY colony_id) AS nb, sum(n) OVER (PARTITION BY colony_id) AS rows_ FROM b), u AS (SELECT * FROM i WHERE nb >= 3 AND rows_ >= 2),
-d AS (SELECT colony_id, i AS d, nb, rep FROM u, range(0, 50) t(rep)), k AS (SELECT colony_id, rep, CAST(('0x' || substr(md5('1|' || rep || '|' || d), 1, 8)) AS BIGINT) % nb AS i FROM d),
+d AS (SELECT colony_id, i AS d, nb, rep FROM u, range(0, 200) t(rep)), k AS (SELECT colony_id, rep, CAST(('0x' || substr(md5('1|' || rep || '|' || d), 1, 8)) AS BIGINT) % nb AS i FROM d),
 m AS (SELECT k.colony_id, rep, sum(s) / sum(n) AS m FROM k JOIN u ON k.colony_id = u.colony_id AND k.i = u.i GROUP BY k.colony_id, rep)
 SELECT colony_id, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY colony_id""")
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("colony_id"), F.col("user_id").alias("block"), "value")
-    b = bootstrap.block_bootstrap(e, ["colony_id"], "block", "value", 50)
+    b = bootstrap.block_bootstrap(e, ["colony_id"], "block", "value", 200)
     return b.select("colony_id", rounded(F.col("lo")).alias("lo"), rounded(F.col("hi")).alias("hi"))
 
 
@@ -265,24 +234,18 @@ def group_descriptives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("group", "n_plates", "n_colonies", *[rounded(F.col(c), 4).alias(c) for c in ("mean", "sd_between_plates", "sd_within_plates")])
 
 
-@query(f"""WITH {_GROUPED}, m AS (SELECT avg(mean) FILTER (WHERE g = 'AUTOMOBILE') AS a, avg(mean) FILTER (WHERE g = 'BUILDING') AS b, var_samp(mean) FILTER (WHERE g = 'AUTOMOBILE') AS va, var_samp(mean) FILTER (WHERE g = 'BUILDING') AS vb, count(*) FILTER (WHERE g = 'AUTOMOBILE') AS na, count(*) FILTER (WHERE g = 'BUILDING') AS nb FROM s)
-SELECT 'BUILDING' AS term, round(b - a, 4) AS estimate, round(sqrt(va / na + vb / nb), 4) AS se, round((b - a) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df FROM m""")
+@query(f"""WITH {_GROUPED}, h AS (SELECT *, CASE WHEN g IN ('AUTOMOBILE', 'BUILDING') THEN 'first' ELSE 'other' END AS half FROM s),
+m AS (SELECT avg(mean) FILTER (WHERE half = 'first') AS a, avg(mean) FILTER (WHERE half = 'other') AS b, var_samp(mean) FILTER (WHERE half = 'first') AS va, var_samp(mean) FILTER (WHERE half = 'other') AS vb, count(*) FILTER (WHERE half = 'first') AS na, count(*) FILTER (WHERE half = 'other') AS nb FROM h)
+SELECT 'other' AS term, round(b - a, 4) AS estimate, round(sqrt(va / na + vb / nb), 4) AS se, round((b - a) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df FROM m""")
 def plate_means_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plate means of two groups of segments."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
-    c = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")).select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    r = stats.compare(o.join(c, "o_custkey"), "o_totalprice", "c_mktsegment", "o_custkey", method="means").coefficients[0]
+    half = F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), "first").otherwise("other")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), half.alias("half"))
+    r = stats.compare(o.join(c, "o_custkey"), "o_totalprice", "half", "o_custkey", method="means").coefficients[0]
     return spark.createDataFrame([(r["term"], round(r["estimate"], 4), round(r["se"], 4), round(r["t"], 6), round(r["df"], 4))], "term string, estimate double, se double, t double, df double")
 
 
-@query()
-def mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REML estimates of all segments against the first; tested against the balanced closed form."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    r = stats.compare(o.join(c, "o_custkey"), "o_totalprice", "c_mktsegment", "o_custkey")
-    return spark.createDataFrame([(x["term"], float(x["estimate"]), float(x["se"]), float(x["t"]), float(x["p"]), float(r.icc)) for x in r.coefficients], "term string, estimate double, se double, t double, p double, icc double")
-
-
 @query("""WITH m AS (SELECT o_custkey AS plate_id, o_orderpriority AS treatment, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
 SELECT c_custkey AS plate_id, c_mktsegment, treatment FROM customer LEFT JOIN m ON c_custkey = plate_id AND k = 1""")
 def metadata_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,15 +281,6 @@ def layout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("plate_id", "colony_id", rounded(F.col("expected_x")).alias("expected_x"), rounded(F.col("expected_y")).alias("expected_y"))
 
 
-@query(f"""WITH {_PLANE}, t AS (SELECT * FROM (VALUES ('a', 10, 20, 6), ('b', 12, 22, 5), ('c', 40, 300, 9)) v(class, cx, cy, r)) SELECT class, count(*) AS n, round(avg(v), 6) + 0.0 AS v_mean FROM plane JOIN t ON (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r GROUP BY class""")
-def region_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels in marked circles; a pixel in two of them counts in both."""
-    regions = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(x).alias("cx"), F.lit(y).alias("cy"), F.lit(r).alias("r")) for c, x, y, r in (("a", 10, 20, 6), ("b", 12, 22, 5), ("c", 40, 300, 9))])
-    d = lambda t: (F.col("x") - t["cx"]) * (F.col("x") - t["cx"]) + (F.col("y") - t["cy"]) * (F.col("y") - t["cy"]) <= t["r"] * t["r"]
-    p = plane(spark, sf_dir).select("v", F.explode(F.filter(regions, d)).alias("t"))
-    return p.groupBy(F.col("t.class").alias("class")).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("v")).alias("v_mean"))
-
-
 @query()
 def simulated_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole analyses of two simulated plates: a row per colony."""
@@ -334,4 +288,7 @@ def simulated_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.images import simulated_images
 
     images = simulated_images(spark, [{"plate_id": "sim_1", "width": 360, "height": 480, "seed": 1}, {"plate_id": "sim_2", "width": 360, "height": 480, "seed": 2, "facing_darkening": 6}])
-    return analyze(images, settings=Settings(n_boot=40)).colonies.select("plate_id", "colony_id", "detected", "area_mm2", "MI_mean", "MI_lo", "MI_hi", "delta_MI_facing", "gap_bacteria_mm")
+    return analyze(images, settings=Settings()).colonies.select("plate_id", "colony_id", "detected", "area_mm2", "MI_mean", "MI_lo", "MI_hi", "delta_MI_facing", "gap_bacteria_mm")
+
+
+from . import engine_queries  # noqa: E402,F401  it adds its queries to these
