@@ -223,14 +223,97 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.scored(docs, lab.filter("false")).collect()} == {0.5}
 
 
-def test_language_identification(spark):
-    train = spark.createDataFrame([(i, t * 4, g) for i, (t, g) in enumerate([("the house of the king and the queen was there ", "en"), ("das haus der königin und der könig war da ", "de"), ("la maison de la reine et le roi était là ", "fr")] * 4)], "doc_id long, text string, lang string")
-    pages = [(1, "http://a.example.de/x", "<html lang='de'><body>das haus der königin war</body></html>"), (2, "http://a.example.de/y", "<html><body></body></html>"), (3, "http://b.example.com", "<html lang=fr><p>la maison de la reine</p>"), (4, None, None), (5, "not a url", "the house of the king"), (6, "http://a.example.de/z", "<html lang='en'><script>la la</script>das haus der königin und der könig war da</html>"), (6, "http://a.example.de/z", "<html lang='en'><script>la la</script>das haus der königin und der könig war da</html>")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lang", F.lit("clash"))
-    got = {r.page_id: r for r in language_id.identify(df, train).collect()}
-    assert [got[k].lang for k in (1, 2, 3, 5, 6)] == ["de", "de", "fr", "en", "de"] and got[4].lang is not None
-    assert language_id.identify(df, train).count() == len(pages) and all(0 < r.probability <= 1 for r in got.values())
-    assert language_id.identify(df.filter("false"), train).count() == 0 and language_id.identify(df, train.filter("false")).filter("lang is null").count() == len(pages)
+TONGUES = {
+    "de": "das haus der königin und der könig war da mit schönen gärten über dem fluß und vielen bäumen ",
+    "en": "the house of the king and the queen was there with many gardens over the river and trees ",
+    "fr": "la maison de la reine et le roi était là avec des jardins près de la rivière et des arbres ",
+}
+
+
+def brute_languages(pages, docs):
+    """Fusion of evidence with Python numbers, page by page."""
+    langs = sorted({g for _, _, g in docs if g})
+
+    def grams(t):
+        t = " " + " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x) + " "
+        return [language_id._grams_of(t[i : i + 3]) for i in range(len(t) - 2)] if len(t) > 3 else []
+
+    size = 1 << language_id.BITS
+    count = {g: collections.Counter() for g in langs}
+    for _, t, g in docs:
+        count[g].update(grams(t))
+    norm = {g: math.log(sum(count[g].values()) + 0.5 * size) for g in langs}
+    seen = []
+    for _, url, html in pages:
+        text = re.sub(r"<[^>]*>", " ", re.sub(r"(?s)<!--.*?-->", " ", re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1[^>]*>", " ", html or "")))
+        g = grams(text)
+        w = min(1.0, language_id.WEIGHT / math.sqrt(len(g))) if g else 0
+        logs = [w * sum(math.log(count[k][x] + 0.5) - norm[k] for x in g) for k in langs]
+        top = max(logs)
+        m = re.match(r"(?i)[a-z]+://(?:[^/@]*@)?([^/:?#]+)", url or "")
+        host = m[1].lower() if m else ""
+        d = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", html or "")
+        own = logs.index(top) if max(logs) > min(logs) else None
+        seen.append({"logs": [x - top for x in logs], "own": own, "host": host, "site": ".".join(host.split(".")[-3:]), "suffix": host.split(".")[-1], "declared": d[1].lower() if d else ""})
+    out = []
+    for i, p in enumerate(seen):
+        def counts(key, skip=lambda q: False):
+            return [sum(q["own"] == k and (key is None or q[key] == p[key]) and not skip(q) for j, q in enumerate(seen) if j != i) for k in range(len(langs))]
+
+        def share(c, up):
+            return [(x + language_id.PRIOR * u) / (sum(c) + language_id.PRIOR) for x, u in zip(c, up, strict=True)]
+
+        c = counts(None)
+        base = [(x + 1) / (sum(c) + len(langs)) for x in c]
+        prior = share(counts("host"), share(counts("site"), base))
+        said = share(counts("declared"), base) if p["declared"] else base
+        ending = share(counts("suffix", lambda q: q["site"] == p["site"]), base) if p["suffix"] else base
+        z = [t + math.log(a) + math.log(s / b) + math.log(e / b) for t, a, s, e, b in zip(p["logs"], prior, said, ending, base, strict=True)]
+        out.append((pages[i][0], langs[z.index(max(z))], 1 / sum(math.exp(x - max(z)) for x in z), p["declared"], p["host"]))
+    return out
+
+
+def test_language_identification(spark, monkeypatch):
+    def hashed(t):
+        a, b, c = (ord(x) for x in t)
+        m = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+        return ((m ^ (m >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - language_id.BITS)
+
+    monkeypatch.setattr(language_id, "_grams_of", hashed, raising=False)
+    docs = [(i, t * 4, g) for i, (g, t) in enumerate(list(TONGUES.items()) * 4)]
+    train = spark.createDataFrame([*docs, (99, None, "en"), (98, "no label", None)], "doc_id long, text string, lang string")
+    rng = random.Random(7)
+    pages = []
+    for i in range(60):  # hosts of one language with some pages that declare another, and pages that say nothing
+        g = ("de", "fr", "en")[i % 3]
+        words = rng.sample(TONGUES[g].split(), rng.choice([0, 1, 3, 8]))
+        said = rng.choice([g, g, "en", None])
+        head = f"<html lang='{said}'>" if said else "<HTML>"
+        pages.append((i, rng.choice([f"http://w{i % 4}.{g}-news.example.{'de' if g == 'de' else 'com'}/x", f"https://user@{g}.org:80/a", None]), f"{head}<!-- the the --><script>the king</script><p>{' '.join(words)}</p>"))
+    pages += [(100, None, None), (101, "not a url", "the house of the king"), (102, "http://a.example.de/z", "<html lang='en'><style>la la</style>das haus der königin und der könig"), (102, "http://a.example.de/z", "<html lang='en'><style>la la</style>das haus der königin und der könig"), (103, "http://x.fr", "a < b"), (104, "http://x.fr", "<p" * 20000 + " la maison")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lang", F.lit("clash")).withColumn("own", F.lit(1))
+    got = language_id.identify(df.repartition(3), train).collect()
+    want = brute_languages(pages[:-2], docs)  # without the two with signs that open nothing
+    rows = [r for r in got if r.page_id not in (103, 104)]
+    plain = language_id.identify(df.filter("page_id < 103"), train).collect()
+    assert collections.Counter((r.page_id, r.lang, round(r.probability, 6), r.declared, r.host) for r in plain) == collections.Counter((a, b, round(c, 6), d, e) for a, b, c, d, e in want)
+    assert len(got) == len(pages) and {r.lang for r in rows if r.page_id == 102} == {"de"}
+    monkeypatch.setattr(language_id, "FEW_ROWS", 0)
+    monkeypatch.setattr(language_id, "HOT", 5)
+    again = language_id.identify(df.repartition(3), train).collect()
+    assert collections.Counter((r.page_id, r.lang, round(r.probability, 9)) for r in again) == collections.Counter((r.page_id, r.lang, round(r.probability, 9)) for r in got)
+    assert language_id.identify(df.filter("false"), train).count() == 0
+    assert {(r.lang, r.probability) for r in language_id.identify(df, train.filter("false")).collect()} == {(None, None)}
+
+
+def test_text_of_pages_is_linear():
+    import time
+
+    for page in (b"<script>" * 200_000, b"<!-- " * 300_000, b"<p " * 400_000, b"<style><script>" * 100_000 + b"</style>text"):
+        start = time.time()
+        language_id.visible(page)
+        assert time.time() - start < 3
+    assert language_id.visible(b"a<b>c</b><SCRIPT x>if (a > b)</Script >d<!-- <p> -->e<styled>f").split() == [b"a", b"c", b"d", b"e", b"f"]
 
 
 def test_pieces(docs, empty):
