@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,8 +71,8 @@ class PrefixTable:
         self.runs: dict[int, list[int]] = {}
         free = "\n" not in self.chars  # a line end that no piece holds is a unit of its own
         self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if free else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.kept: dict[str, tuple[bytes, list[int]]] = {}
+        self.older: dict[str, tuple[bytes, list[int]]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge by score, leftmost first on ties, until no pair is a piece: for short texts, as in a pair test."""
@@ -163,16 +164,20 @@ class PrefixTable:
             out += self.unit(u)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        data = b"".join([self.surface[i] for i in ids])
+    def decoded(self, ids: list[int]) -> bytes:
+        """The text of ids in UTF-8; bytes that are none become the sign for that."""
+        data = b"".join(map(self.surface.__getitem__, ids))
         first = ids and self.pieces[ids[0]].startswith(SPACE)
-        return data[1 if first else 0 :].decode("utf-8", "replace")
+        return data[1 if first else 0 :].decode("utf-8", "replace").encode()
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decoded(ids).decode()
 
-    def _look(self, unit: str) -> tuple[bytes, bytes]:
+    def _look(self, unit: str) -> tuple[bytes, list[int]]:
         found = self.older.get(unit)
         if found is None:
             ids = self.unit(unit)
-            found = b"".join([b"%d," % i for i in ids]), b"".join([self.surface[i] for i in ids])
+            found = b"".join([b"%d," % i for i in ids]), ids
         if len(unit) <= LONGEST_REMEMBERED:
             if len(self.kept) >= REMEMBERED:
                 self.older, self.kept = self.kept, {}
@@ -180,15 +185,15 @@ class PrefixTable:
         return found
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the decimal ids, sha256 of the text decoded from them."""
+        """Number of ids, sha256 of the decimal ids, sha256 of the text decoded from the ids."""
         if not text:
             empty = hashlib.sha256(b"").hexdigest()
             return 0, empty, empty
         look = self._look
         found = [self.kept.get(u) or look(u) for u in self.units(SPACE + text.replace(" ", SPACE))]
-        ids = b"".join([f[0] for f in found])
-        decoded = b"".join([f[1] for f in found])
-        return ids.count(b","), hashlib.sha256(ids[:-1]).hexdigest(), hashlib.sha256(decoded[1:]).hexdigest()
+        written = b"".join([f[0] for f in found])
+        ids = list(chain.from_iterable([f[1] for f in found]))
+        return len(ids), hashlib.sha256(written[:-1]).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
 
 
 _TABLES: dict[int, PrefixTable] = {}
@@ -202,6 +207,13 @@ def _table(shared) -> PrefixTable:
     return _TABLES[shared.id]
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 class _Shared:
     def __init__(self, spark, path: str):
         self.vocabulary = spark.sparkContext.broadcast(load_vocabulary(path))
@@ -214,9 +226,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared)
-        for batch in batches:
-            ids = [table.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for part in few(batches):
+            ids = [table.encode(t or "") for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -227,9 +239,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared)
-        for batch in batches:
-            texts = [table.decode(i or []) for i in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        for part in few(batches):
+            texts = [table.decode(i or []) for i in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return pick(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -240,9 +252,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared)
-        for batch in batches:
-            found = [table.digest(t or "") for t in batch.column(1).to_pylist()]
+        for part in few(batches):
+            found = [table.digest(t or "") for t in part.column(1).to_pylist()]
             n, a, b = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
