@@ -331,6 +331,8 @@ def test_pieces(docs, empty):
     back = {(r.doc_id, r.text) for r in prefix_bpe.decode(prefix_bpe.encode(docs, path), path).collect()}
     assert back == {(r[0], sp.decode(sp.encode(r[1] or ""))) for r in ROWS}
     table, rng = prefix_bpe.PrefixTable(prefix_bpe.load_vocabulary(path)), random.Random(4)
+    for x in ("x" * 30_000, "ab" * 20_000 + " tail", "\u00fc" * 5000, "1" * 9000):  # long words without a break
+        assert table.encode(x) == sp.encode(x) and table.digest(x)[2] == sha(sp.decode(sp.encode(x)))
     parts = [" ", "  ", "▁", "\n", "\t", "a", "the", "é", "€", "𝔘", "1", "<s>", "<0x41>", "in", "ing", "er", "日本", "=", "\x00", "{", " t"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [" " * k + s for k in range(1, 80) for s in ("", "x", ".")]
     for x in texts:
@@ -363,6 +365,75 @@ def test_fingerprints(spark, docs, empty):
     assert one.near_next == 1
 
 
+def plain_phrases(x, mask=(1 << 64) - 1):
+    """One level of the parsing, name by name with Python numbers."""
+    def mix(v):
+        v = ((v ^ (v >> 32)) * 0xD6E8FEB86659FD93) & mask
+        v ^= v >> 29
+        v = (v * 0xA0761D6478BD642F) & mask
+        return v ^ (v >> 32)
+
+    runs = []
+    for v in x:
+        if runs and runs[-1][0] == v:
+            runs[-1][1] += 1
+        else:
+            runs.append([v, 1])
+    x = [mix(v ^ (n * 0xC2B2AE3D27D4EB4F & mask)) if n > 1 else v for v, n in runs]
+
+    def toss(before, v, first):
+        d = 1 if first or before == v else before ^ v
+        low = d & -d
+        return 2 * (low.bit_length() - 1) + ((v & low) > 0)
+
+    label = [toss(x[i - 1] if i else 0, v, i == 0) for i, v in enumerate(x)]
+    for _ in range(3):
+        label = [toss(label[i - 1] if i else 0, v, i == 0) for i, v in enumerate(label)]
+    out, held = [], []
+    for i, v in enumerate(x):
+        top = i and label[i] > label[i - 1] and (i + 1 == len(x) or label[i] > label[i + 1])
+        if top:
+            out.append(held)
+            held = []
+        held.append(v)
+    out.append(held)
+    return [mix((sum(mix((v + k * 0x9E3779B97F4A7C15) & mask) for k, v in enumerate(p)) + len(p)) & mask) for p in out]
+
+
+def plain_names(text):
+    mask = (1 << 64) - 1
+    x, found = [int(fingerprints._BYTES[b]) for b in text], []
+    for level in range(1, 99):
+        x = plain_phrases(x, mask)
+        if level > 1:
+            found += [v >> 32 for v in x]
+            if len(x) == 1:
+                return found
+
+
+def test_parsing_against_a_plain_version():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 60))) for _ in range(25)] + ["aaaaaaaaab", "abababab", "x", "Ü" * 9, "aab" * 30]
+    together = fingerprints.names([t.encode() for t in texts])
+    for t, got in zip(texts, together, strict=True):
+        assert got.tolist() == plain_names(t.encode()), t
+
+
+def test_likeness_estimates_the_share_of_names(spark):
+    rng = random.Random(13)
+    core = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(500)]
+    rows = [(i, " ".join(core[: 500 - 40 * i] + [f"new{rng.randint(0, 999)}" for _ in range(40 * i)])) for i in range(9)]
+    df = spark.createDataFrame([*rows, (50, None)], "doc_id long, text string")
+    every = {r.doc_id: set(r.names) for r in fingerprints.phrase_names(df).collect()}
+    short = {r.doc_id: fingerprints.from_text(r.fingerprint) for r in fingerprints.fingerprints(df).collect()}
+    assert every[50] == set()
+    for i in range(1, 9):
+        true = len(every[0] & every[i]) / len(every[0] | every[i])
+        assert abs(fingerprints.likeness(short[0], short[i]) - true) < 4 * max(0.02, math.sqrt(true * (1 - true) / fingerprints.KEPT))
+    whole = fingerprints.sketches([rows[0][1].encode(), rows[3][1].encode()], 0)
+    assert fingerprints.likeness(*whole, 0) == len(every[0] & every[3]) / len(every[0] | every[3])
+
+
 def test_interior_signatures_do_not_depend_on_the_offset():
     rng = random.Random(6)
     core = " ".join(rng.choice(WORDS) for _ in range(400))
