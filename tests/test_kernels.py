@@ -106,3 +106,14 @@ def test_resizes_and_samples(spark):
     pts = spark.createDataFrame([(2.5, 3.25), (-1.0, 0.0)], "px double, py double")
     v = {r["px"]: r["value"] for r in grid.bilinear(rows(spark, x), [], pts, "v").collect()}
     assert np.isclose(v[2.5], x[3, 2] * 0.375 + x[3, 3] * 0.375 + x[4, 2] * 0.125 + x[4, 3] * 0.125) and v[-1.0] is None
+
+
+def test_disks_against_distances():
+    rng = np.random.default_rng(5)
+    for shape in ((30, 41), (1, 9), (12, 1)):
+        for p in (0.1, 0.5, 0.9, 1.0, 0.0):
+            m = rng.random(shape) < p
+            for r in (0.5, 1, 1.5, 2, 3.7, 60):
+                assert (K.erode(m, r) == (K.edt(m) > r)).all()
+                if m.any():
+                    assert (K.dilate(m, r) == (K.edt(~m) <= r)).all()
