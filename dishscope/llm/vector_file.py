@@ -304,6 +304,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_name: str = "vec_id", v
         ranked.select("number", "query_id", "vec_id", "score", "rank").write.parquet(scratch.path(f"found/block={b}"))
         shared.unpersist()
         floors.unpersist()
+    scratch.drop("cells", "vectors")
     found = spark.read.schema(result + ", block int").parquet(scratch.path("found"))
     times = queries.filter("times > 1").select("number", "times")
     each = found.join(times, "number", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
