@@ -206,7 +206,8 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = 4096, shard_words:
         if gaps.filter("more").isEmpty():
             break
         rest, step = near.filter(~closes).select("rank", "bucket", "rid", "doc_id", "key", "size"), step + 1
-    filled = reduce(DataFrame.unionByName, fills)
+    # tables between keep each plan small, and with them the driver's memory
+    filled = scratch.table(reduce(DataFrame.unionByName, fills), "fills")
     open_gap = gaps.select("rank", (F.col("want") - F.col("part")).alias("missing"), F.col("passes").cast("int").alias("copy"), first.alias("first"))
     off = F.abs(F.col("size") - F.col("missing"))
     near = rows.filter(~fits & (F.col("size") > 0)).select("rank", "rid", "size", "key").join(F.broadcast(open_gap) if few else open_gap, "rank").filter(off < F.col("missing"))
@@ -229,7 +230,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = 4096, shard_words:
     filled = filled.join(F.broadcast(ends) if few else ends, "rank")
     taken = taken.unionByName(filled.select("rid", "rank", "size", "taken", "blocks", "copy", "at"))
     by_place = F.least(F.floor(F.col("at") * F.col("blocks") / F.greatest(F.col("taken"), F.lit(1))), F.col("blocks") - 1)
-    taken = taken.withColumn("block", F.when(F.col("size") > 0, by_place).otherwise(F.pmod(F.xxhash64(F.lit(seed), "rid"), F.col("blocks"))).cast("long"))
+    taken = scratch.table(taken.withColumn("block", F.when(F.col("size") > 0, by_place).otherwise(F.pmod(F.xxhash64(F.lit(seed), "rid"), F.col("blocks"))).cast("long")).select("rid", "rank", "copy", "block"), "taken")
 
     # quotas down the tree, then each shard's run of every source's permuted blocks
     total = ends.agg(F.coalesce(F.sum("taken"), F.lit(0))).first()[0]
@@ -244,7 +245,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = 4096, shard_words:
     blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed + 1), "rank", "block")).withColumn("one", F.lit(1).cast("long"))
     blocks = blocks.withColumn("bucket", F.floor(F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53)) * F.ceil(F.col("blocks") / docs_per_bucket)).cast("long"))
     blocks = running_before(blocks, ["rank"], "bucket", [F.shiftrightunsigned("key", 1), F.col("key"), F.col("block")], "one", "nth").select("rank", "block", "nth")
-    dealt = blocks.join(draws, ["rank", "nth"]).select("rank", "block", "shard")
+    dealt = scratch.table(blocks.join(draws, ["rank", "nth"]).select("rank", "block", "shard"), "dealt")
     copies = taken.join(dealt, ["rank", "block"]).select("rid", "copy", "shard", F.xxhash64(F.lit(seed + 2), "shard", "rid", "copy").alias("place"))
     rows = scratch.table(rows.select("rid", "doc_id", "size", "source_size", "target"), "sized")
     copies = scratch.table(copies, "copies")
