@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +50,7 @@ class PrefixTable:
         import ahocorasick
 
         self.pieces = [p for p, _, _ in vocabulary]
+        self.kind = "H" if len(vocabulary) <= 65536 else "I"
         self.ids = {p: i for i, (p, _, kind) in enumerate(vocabulary) if kind == "normal"}
         self.score = {p: s for p, s, kind in vocabulary if kind == "normal"}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(vocabulary) if kind == "byte"}
@@ -71,8 +72,8 @@ class PrefixTable:
         self.runs: dict[int, list[int]] = {}
         free = "\n" not in self.chars  # a line end that no piece holds is a unit of its own
         self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if free else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.kept: dict[str, tuple[bytes, list[int]]] = {}
-        self.older: dict[str, tuple[bytes, list[int]]] = {}
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge by score, leftmost first on ties, until no pair is a piece: for short texts, as in a pair test."""
@@ -164,20 +165,20 @@ class PrefixTable:
             out += self.unit(u)
         return out
 
-    def decoded(self, ids: list[int]) -> bytes:
+    def decoded(self, ids: list[int] | array) -> bytes:
         """The text of ids in UTF-8; bytes that are none become the sign for that."""
         data = b"".join(map(self.surface.__getitem__, ids))
-        first = ids and self.pieces[ids[0]].startswith(SPACE)
+        first = len(ids) > 0 and self.pieces[ids[0]].startswith(SPACE)
         return data[1 if first else 0 :].decode("utf-8", "replace").encode()
 
     def decode(self, ids: list[int]) -> str:
         return self.decoded(ids).decode()
 
-    def _look(self, unit: str) -> tuple[bytes, list[int]]:
+    def _look(self, unit: str) -> tuple[bytes, bytes]:
         found = self.older.get(unit)
         if found is None:
             ids = self.unit(unit)
-            found = b"".join([b"%d," % i for i in ids]), ids
+            found = b"".join([b"%d," % i for i in ids]), array(self.kind, ids).tobytes()
         if len(unit) <= LONGEST_REMEMBERED:
             if len(self.kept) >= REMEMBERED:
                 self.older, self.kept = self.kept, {}
@@ -192,7 +193,8 @@ class PrefixTable:
         look = self._look
         found = [self.kept.get(u) or look(u) for u in self.units(SPACE + text.replace(" ", SPACE))]
         written = b"".join([f[0] for f in found])
-        ids = list(chain.from_iterable([f[1] for f in found]))
+        ids = array(self.kind)
+        ids.frombytes(b"".join([f[1] for f in found]))
         return len(ids), hashlib.sha256(written[:-1]).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
 
 
