@@ -48,7 +48,7 @@ TOGETHER = 8
 SPLIT = 512
 #: Bits of the filter for texts to read again; a fuller filter only lets more texts pass.
 FILTER_BITS = 1 << 24
-WORDS_REMEMBERED = 400_000
+WORDS_REMEMBERED = 300_000
 
 _rng = np.random.Generator(np.random.PCG64(20240131))
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -265,7 +265,8 @@ def prefix_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, scratc
     places meet in few lists or at places too late; lists of one component are left out.
     """
     tokens = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
-    often = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    often = scratch.table(tokens.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "often")
+    often = small(often, often.count())
     rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "s"))).alias("all")
     ranked = tokens.join(often, "s", "left").groupBy("node", "n").agg(rarity)
     length = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
@@ -273,7 +274,8 @@ def prefix_pairs(sets: DataFrame, classes: DataFrame, num: int, den: int, scratc
     prefixes = prefixes.select("node", "n", "at", F.col("x.s").alias("s")).join(classes, "node")
     prefixes = scratch.table(prefixes, "prefixes")
     mixed = prefixes.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("asked").alias("asked"))
-    mixed = mixed.filter("asked and lo <> hi").select("s")
+    mixed = scratch.table(mixed.filter("asked and lo <> hi").select("s"), "mixed")
+    mixed = small(mixed, mixed.count())
     live = scratch.table(prefixes.join(mixed, "s", "left_semi"), "lists")
     early = (den + num) * (F.col("n") - F.col("at")) >= 2 * num * F.col("n")
     side = lambda p: [F.col(c).alias(f"{c}_{p}") for c in ("node", "n", "at", "component", "asked")]
