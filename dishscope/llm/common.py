@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.names: list[str] = []
+        if _WATCHED:
+            _WATCHED[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -35,7 +39,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             path.getFileSystem(conf).delete(path, True)
 
     def clear(self, keep: list[str]) -> None:
@@ -43,6 +47,21 @@ class Scratch:
         self.drop(*[n for n in dict.fromkeys(self.names) if n not in keep])
 
 
+#: Lists of the scratch folders made inside ``temporary``, innermost last.
+_WATCHED: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes the tables of all operators called inside, once their results have been written elsewhere."""
+    _WATCHED.append([])
+    try:
+        yield
+    finally:
+        for scratch in _WATCHED.pop():
+            scratch.drop("")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -193,7 +193,9 @@ def edited_pairs(docs: DataFrame, docs_per_part: int = 8192, kept: int = KEPT) -
     Order: descending doc_id, nulls last, equal ids by text; the first follows the
     last.  Parts of this order are parsed by one task each, with a copy of the row
     that follows the part, so texts are shuffled once.  The rows of an id that fills
-    more than a part stand in parts by a hash of their texts, in each by text.
+    more than a part stand in parts by a hash of their texts, in each by text.  Rows are
+    numbered by their place in the scan, so the input must be files, a written table or
+    cached rows.
     """
     import hashlib
 

@@ -151,3 +151,13 @@ def test_run_is_its_stages(spark, table):
         stage(spark, docs, table).write.mode("overwrite").parquet(f"{table}/own{k}")
         docs = spark.read.parquet(f"{table}/own{k}")
     assert got == rows_of(docs) and sum(got.values()) > 50
+
+
+def test_stages_leave_no_tables_behind(spark, table, tmp_path):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, table).count() > 50
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and os.listdir(f"{folder}/{next(iter(left))}") == ["stage4"]
