@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dishscope.llm import mixing, near_dedup, prefix_bpe, private_data, toxicity
-from dishscope.llm.common import Scratch, documents, free_names, numbered
+from dishscope.llm.common import Scratch, documents, free_names, numbered, temporary
 from dishscope.llm.queries import tokenizer_file
 
 
@@ -73,7 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.table(stage(spark, docs, sf_dir), f"stage{k}")
+        with temporary():  # a stage's own tables go once its rows are written
+            docs = scratch.table(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             scratch.drop(f"stage{k - 1}")
     return docs
