@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import pick
 
 SPACE = "▁"
+LETTERS = "".join(chr(c) for c in range(0x30, 0x180) if chr(c).isalnum())
+MARKS = ".,;:!?)'\"-"
 #: Units kept per worker, with their ids, in each of two generations.
 REMEMBERED = 250_000
 LONGEST_REMEMBERED = 48
@@ -71,7 +73,12 @@ class PrefixTable:
         self.pairs: dict[int, bool] = {}
         self.runs: dict[int, list[int]] = {}
         free = "\n" not in self.chars  # a line end that no piece holds is a unit of its own
-        self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if free else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        rest = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if free else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        # no piece holds a letter or digit before these marks, so nothing merges across: words end there
+        before = {(a, b) for p in self.ids for a, b in zip(p[:-1], p[1:], strict=True)}
+        marks = "".join(b for b in MARKS if not any((a, b) in before for a in LETTERS))
+        ends = f"{SPACE}*[{LETTERS}]++(?=[{re.escape(marks)}])|" if marks else ""
+        self.units = re.compile(ends + rest).findall
         self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
 

@@ -333,7 +333,7 @@ def test_pieces(docs, empty):
     table, rng = prefix_bpe.PrefixTable(prefix_bpe.load_vocabulary(path)), random.Random(4)
     for x in ("x" * 30_000, "ab" * 20_000 + " tail", "\u00fc" * 5000, "1" * 9000):  # long words without a break
         assert table.encode(x) == sp.encode(x) and table.digest(x)[2] == sha(sp.decode(sp.encode(x)))
-    parts = [" ", "  ", "▁", "\n", "\t", "a", "the", "é", "€", "𝔘", "1", "<s>", "<0x41>", "in", "ing", "er", "日本", "=", "\x00", "{", " t"]
+    parts = [" ", "  ", "▁", "\n", "\t", "a", "the", "é", "€", "𝔘", "1", "<s>", "<0x41>", "in", "ing", "er", "日本", "=", "\x00", "{", " t", ".", ",", "-", "'s", "...", "ü", "Z", ")", "?!", "ſ", "ª"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [" " * k + s for k in range(1, 80) for s in ("", "x", ".")]
     for x in texts:
         assert table.encode(x) == sp.encode(x), repr(x)
