@@ -406,6 +406,38 @@ def circles_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_orderkey", "l_linenumber", *[known(c).alias(c) for c in ("x", "y", "r")])
 
 
+@query(f"""WITH {_PLANE}, p AS (SELECT y, x, v, CAST(x % 4 AS INTEGER) AS old, greatest(v - 0.05, 0.0) AS f, greatest(0.1 - v, 0.0) * 0.3 AS h FROM plane)
+SELECT y, x, CASE WHEN x % 4 <> 2 THEN old WHEN greatest(f, h) <= 0 THEN 4 WHEN f >= h THEN 1 ELSE 3 END AS class FROM p""")
+def reassigned_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reassign``: pixels of a class that is not wanted go to the likeliest of the others, to other where none is likely."""
+
+    def again(planes):
+        v = planes["v"]
+        cls = np.broadcast_to(np.arange(v.shape[1]) % 4, v.shape).astype(np.int8)
+        posterior = {"fungus": np.maximum(v - 0.05, 0), "bacteria": np.ones(v.shape), "halo": np.maximum(0.1 - v, 0) * 0.3}
+        return by_pixel(**{"class": classify.reassign(cls, posterior, cls == 2, ("bacteria",)).astype(int)})
+
+    return on_planes(plane(spark, sf_dir).select("y", "x", "v"), [], "y int, x int, class int", again)
+
+
+_GAUGE = [0.6, -0.48, 0.64]
+
+
+@query(f"""WITH {_FEATURES}, d AS (SELECT plate, avg(uL) AS a, avg(ua) AS b, avg(ub) AS c FROM fe GROUP BY plate), n AS (SELECT *, sqrt(a * a + b * b + c * c) AS len FROM d)
+SELECT plate, round(degrees(acos(greatest(least((a * {_GAUGE[0]} + b * {_GAUGE[1]} + c * {_GAUGE[2]}) / len, 1.0), -1.0))), 4) AS angle FROM n""")
+def direction_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``angle_between``: degrees between a plate's mean colour direction and a given one."""
+
+    def angle(pdf):
+        import pandas as pd
+
+        c = classify.fit_component(_pixel_features(pdf), np.ones(len(pdf)), 1.0, False)
+        return pd.DataFrame({"plate": [pdf["plate"].iloc[0]], "angle": [classify.angle_between(c.direction, _GAUGE)]})
+
+    got = lab_pixels(spark, sf_dir).select("plate", "r", "L", "a", "b").groupBy("plate").applyInPandas(angle, "plate string, angle double")
+    return got.select("plate", rounded(F.col("angle"), 4).alias("angle"))
+
+
 # Raster kernels --------------------------------------------------------------------------------
 
 _DISK = ", ".join(f"({dx}, {dy})" for dx in range(-2, 3) for dy in range(-2, 3) if dx * dx + dy * dy <= 4)
