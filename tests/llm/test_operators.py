@@ -306,6 +306,35 @@ def test_language_identification(spark, monkeypatch):
     assert {(r.lang, r.probability) for r in language_id.identify(df, train.filter("false")).collect()} == {(None, None)}
 
 
+def test_more_languages_than_a_block(spark, monkeypatch):
+    def hashed(t):
+        a, b, c = (ord(x) for x in t)
+        m = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+        return ((m ^ (m >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - language_id.BITS)
+
+    monkeypatch.setattr(language_id, "_grams_of", hashed, raising=False)
+    rng = random.Random(11)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(12)] for k in range(70)}
+    words["l69"] = words["l03"]  # equal languages in the first and the last block: the first by name is taken
+    docs = [(k, " ".join(w) + " the king", g) for k, (g, w) in enumerate(words.items())] + [(100 + k, "the house of the king", "l01") for k in range(3)]
+    train = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    pages = []
+    for k, g in enumerate([*words, *words]):
+        said = rng.choice([f"<html lang={'de' if k % 2 else 'en'}>", ""])
+        pages.append((k, rng.choice([f"http://w{k % 9}.x{k % 4}.example.{'com' if k % 3 else 'de'}/", None]), said + " ".join(rng.sample(words[g], rng.choice([0, 1, 3, 6])))))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = lambda: collections.Counter((r.page_id, r.lang, round(r.probability, 6), r.declared, r.host) for r in language_id.identify(df, train).collect())
+    got = rows()
+    assert got == collections.Counter((a, b, round(c, 6), d, e) for a, b, c, d, e in brute_languages(pages, docs))
+    assert {b for _, b, *_ in got} > {f"l{k}" for k in range(64, 69)}
+    for at_once, waiting, few in ((9, 200, 0), (200, 1 << 22, 1_000_000)):  # many blocks, few pages at once, joins; one block
+        monkeypatch.setattr(language_id, "AT_ONCE", at_once)
+        monkeypatch.setattr(language_id, "WAITING", waiting)
+        monkeypatch.setattr(language_id, "FEW_ROWS", few)
+        monkeypatch.setattr(language_id, "HOT", 5)
+        assert rows() == got
+
+
 def test_text_of_pages_is_linear():
     import time
 
