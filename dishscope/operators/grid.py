@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bands
 from .kernels import gauss_radius
 
 
@@ -97,17 +98,8 @@ def resize_nearest(grid: DataFrame, keys: list[str], height: int, width: int, ne
 
 
 def edt(grid: DataFrame, keys: list[str], mask: str, out: str = "dist") -> DataFrame:
-    """Exact distance to the nearest false pixel: nearest in the column by windows, then over each row's columns.
-
-    The second step pairs the pixels of one row, so it is for small grids and tests.
-    """
-    w = Window.partitionBy(*keys, "x").orderBy("y")
-    free = F.when(~F.col(mask), F.col("y"))
-    g = grid.withColumn("_up", F.last(free, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_down", F.first(free, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    g = g.withColumn("_g", F.least(F.col("y") - F.col("_up"), F.col("_down") - F.col("y")))
-    row = g.groupBy(*keys, "y").agg(F.collect_list(F.when(F.col("_g").isNotNull(), F.struct(F.col("x").alias("u"), F.col("_g").alias("g")))).alias("_row"))
-    least = F.array_min(F.transform("_row", lambda p: (p["u"] - F.col("x")) * (p["u"] - F.col("x")) + p["g"] * p["g"]))
-    return g.join(row, [*keys, "y"]).withColumn(out, F.when(~F.col(mask), F.lit(0.0)).otherwise(F.coalesce(F.sqrt(least.cast("double")), F.lit(float("inf"))))).drop("_up", "_down", "_g", "_row")
+    """Exact distance to the nearest false pixel, band by band."""
+    return bands.edt(grid, keys, mask, out)
 
 
 def label_components(grid: DataFrame, keys: list[str], mask: str, connectivity: int = 8, out: str = "label") -> DataFrame:
