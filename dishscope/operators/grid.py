@@ -103,21 +103,8 @@ def edt(grid: DataFrame, keys: list[str], mask: str, out: str = "dist") -> DataF
 
 
 def label_components(grid: DataFrame, keys: list[str], mask: str, connectivity: int = 8, out: str = "label") -> DataFrame:
-    """Components of each plate, numbered by first appearance down the columns; one kernel call a plate."""
-    import numpy as np
-
-    from .kernels import components
-
-    schema = grid.select(*keys, "y", "x").withColumn(out, F.lit(0)).schema
-
-    def one(pdf):
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        plane = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
-        plane[y - y.min(), x - x.min()] = pdf[mask].to_numpy(bool)
-        return pdf[[*keys, "y", "x"]].assign(**{out: components(plane, connectivity)[y - y.min(), x - x.min()].astype("int32")})
-
-    slim = grid.select(*keys, "y", "x", mask).withColumn("_all", F.lit(0))
-    return slim.groupBy(*keys, "_all").applyInPandas(one, schema)
+    """Components of each plate, numbered by first appearance down the columns, band by band."""
+    return bands.label_components(grid, keys, mask, connectivity, out)
 
 
 def bilinear(grid: DataFrame, keys: list[str], points: DataFrame, value: str, out: str = "value", keep: list[str] | None = None) -> DataFrame:
