@@ -79,7 +79,7 @@ def correct_facing_bias(colonies: DataFrame, control: str = "control", group: st
         raise ValueError(f"no rows with {group} = {control}")
     own = [v for v in variables if v in colonies.columns]
     bias = colonies.filter(F.col(group) == control).groupBy("colony_id").agg(*[F.avg(v).alias(f"_{v}") for v in own])
-    joined = colonies.join(bias, "colony_id", "left")
+    joined = colonies.join(F.broadcast(bias), "colony_id", "left")  # a row a position
     return joined.select(*colonies.columns, *[(F.col(v) - F.col(f"_{v}")).alias(f"{v}_corrected") for v in own])
 
 
